@@ -14,7 +14,6 @@ from itertools import combinations_with_replacement
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext, cloudpickle
-from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -33,52 +32,50 @@ def monomials(variables: int, degree: int) -> list[Powers]:
     return out
 
 
-def monomial_column(columns: Sequence[Column], powers: Powers) -> Column:
-    out = F.lit(1.0)
-    for c, p in zip(columns, powers):
-        for _ in range(p):
-            out = out * c
-    return out
-
-
-def moment_columns(columns: Sequence[Column], y: Column, degree: int) -> list[Column]:
-    """Values whose sums determine the degree-``degree`` fit: all monomials up to
-    twice the degree, y times the monomials up to the degree, and y squared."""
-    k = len(columns)
+def expansion_order(variables: int, degree: int) -> list[Powers]:
+    """Exponents in the order MLlib's ``PolynomialExpansion`` lists its output,
+    preceded by the constant it leaves out."""
+    if variables == 0:
+        return [()]
     return [
-        *[monomial_column(columns, p) for p in monomials(k, 2 * degree)],
-        *[monomial_column(columns, p) * y for p in monomials(k, degree)],
-        y * y,
+        (*shorter, last)
+        for last in range(degree + 1)
+        for shorter in expansion_order(variables - 1, degree - last)
     ]
 
 
 class MomentSolver:
-    """Reads the normal equations of any degree <= ``degree`` off a moment vector."""
+    """Least-squares fits from sums of monomials of (features..., target).
+
+    A moment vector holds the row count and the sums of all monomials up to
+    twice ``degree``, in expansion order; it determines the fit of every
+    polynomial of at most ``degree``.
+    """
 
     def __init__(self, variables: int, degree: int) -> None:
         self.variables = variables
-        self.powers = np.array(monomials(variables, 2 * degree))
-        self.where = {tuple(p): i for i, p in enumerate(self.powers.tolist())}
-        self.cross_terms = len(monomials(variables, degree))
+        order = expansion_order(variables + 1, 2 * degree)
+        self.powers = np.array(order)
+        self.where = {p: i for i, p in enumerate(order)}
+        self.places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def design(self, x: np.ndarray, degree: int) -> np.ndarray:
         terms = np.array(monomials(self.variables, degree))
-        return np.stack([np.prod(x**p, axis=-1) for p in terms], axis=-1)
+        return np.prod(x[..., None, :] ** terms, axis=-1)
 
     def vector(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Per-row moment values, the numpy twin of ``moment_columns``."""
-        degree = int(self.powers.sum(axis=1).max()) // 2
-        z = np.stack([np.prod(x**p, axis=-1) for p in self.powers], axis=-1)
-        low = self.design(x, degree) * y[..., None]
-        return np.concatenate([z, low, (y * y)[..., None]], axis=-1)
+        """Moment vector of each single row."""
+        z = np.column_stack([x, y])
+        return np.prod(z[:, None, :] ** self.powers, axis=-1)
 
     def normal(self, m: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
-        terms = monomials(self.variables, degree)
-        at = np.array(
-            [[self.where[tuple(np.add(p, q).tolist())] for q in terms] for p in terms]
-        )
-        start = len(self.powers)
-        return m[at], m[start : start + len(terms)]
+        if degree not in self.places:
+            terms = monomials(self.variables, degree)
+            square = [[self.where[(*np.add(p, q).tolist(), 0)] for q in terms] for p in terms]
+            cross = [self.where[(*p, 1)] for p in terms]
+            self.places[degree] = np.array(square), np.array(cross)
+        square, cross = self.places[degree]
+        return m[square], m[cross]
 
     def solve(self, m: np.ndarray, degree: int) -> np.ndarray:
         return solve_normal(*self.normal(m, degree))
@@ -94,8 +91,8 @@ def solve_normal(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
 
 
 def expanding_predictions(variables: int, max_degree: int, degrees: Sequence[int]):
-    """UDF: (moments before the first test row, features, targets of the test
-    rows in order) -> one prediction per degree and test row, degree-major.
+    """UDF: (moment vector of the training rows, features, targets of the test
+    rows in order) -> one prediction per degree and test row, degree by degree.
 
     Before each further test row, the rows already passed join the moments.
     """

@@ -96,8 +96,12 @@ def rolling_features(
         ).drop(_FILLED)
 
     if layout.split:
-        # A gap may be longer than the rows shared between slices.
-        prices = layout.fill_forward(prices, spec.value, _FILLED)
+        # A gap may be longer than the rows shared between slices, so gaps are
+        # filled over the whole series first; without any there is nothing to do.
+        if prices.where(close.isNull()).isEmpty():
+            prices = prices.withColumn(_FILLED, close)
+        else:
+            prices = layout.fill_forward(prices, spec.value, _FILLED)
     out = layout.lookaround(prices, build, back=n, ahead=1 if neighbours else 0)
     return out if keep_slice else out.drop(SLICE)
 

@@ -12,12 +12,14 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     GBTRegressor,
     LinearRegression,
     RandomForestRegressor,
 )
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 from candlewick.config import FOLDS, MIN_TRAIN_ROWS, MODEL_FEATURES, TEST_DAYS, SeriesSpec
 from candlewick.functions.least_squares import (
     expanding_predictions,
+    expansion_order,
     fold_errors,
     gram_batches,
     gram_schema,
-    moment_columns,
     sum_grams,
 )
 from candlewick.operators.features import (
@@ -37,7 +39,7 @@ from candlewick.operators.features import (
     series_layout,
     tail_split,
 )
-from candlewick.operators.layout import SLICE, Layout
+from candlewick.operators.layout import Layout
 
 # Strategies a single feature can express, next to the naive last-close one.
 SIMPLE_STRATEGIES = {"ols_mean_7d": "mean_7d", "ols_momentum_7d": "momentum_7d"}
@@ -370,106 +372,143 @@ def test_frame(
     return tail_split(rows, test_days, min_train, spec, layout, level=spec.value)
 
 
-def _test_rows(frame: DataFrame, spec: SeriesSpec) -> DataFrame:
-    return frame.where("is_test").drop(SLICE)
+def _scaled(c: Column, feature: str) -> Column:
+    shift = F.col("__mean") if feature in _LEVEL else F.lit(0.0)
+    scale = F.col("__spread") if feature in _PRICE_SCALE else F.lit(1.0)
+    return (c - shift) / scale
 
 
-def walk_forward_simple(frame: DataFrame, spec: SeriesSpec = SeriesSpec()) -> DataFrame:
-    """Expanding one-feature fits: each test row is predicted from all earlier
-    rows of its series.
+def _scaled_target() -> Column:
+    return (F.col("y") - F.col("__mean")) / F.col("__spread")
+
+
+def fold_history(frame: DataFrame, degree: int = 1, spec: SeriesSpec = SeriesSpec()) -> DataFrame:
+    """One row per series: the moments of its training rows and its test rows.
 
-    Training rows are folded into a few sums per series; the window only runs
-    over the test rows, at most ``test_days`` per series.
+    This is the only pass over the history.  Training rows are summed with
+    map-side combine (weight 0 leaves the test rows out); the test rows, at most
+    ``test_days`` per series, come along as a sorted list.  Every walk-forward
+    strategy of up to ``degree`` follows from the result.
     """
     keys = list(spec.keys)
+    terms = [f"__x{i}" for i in range(len(MODEL_FEATURES))]
+    rows = frame.withColumns(
+        {t: _scaled(F.col(f), f) for t, f in zip(terms, MODEL_FEATURES)}
+        | {
+            "__y": _scaled_target(),
+            "__train": F.when(F.col("is_test"), 0.0).otherwise(1.0),
+            "__row": F.when(
+                F.col("is_test"),
+                F.struct(*spec.order, spec.value, "y", "previous_close", *MODEL_FEATURES),
+            ),
+        }
+    )
+    rows = VectorAssembler(inputCols=[*terms, "__y"], outputCol="__z").transform(rows)
+    rows = PolynomialExpansion(degree=2 * degree, inputCol="__z", outputCol="__terms").transform(rows)
+    folded = rows.groupBy(*keys).agg(
+        F.sum("__train").alias("__count"),
+        Summarizer.metrics("sum").summary(F.col("__terms"), F.col("__train")).alias("__sums"),
+        F.array_sort(F.collect_list("__row")).alias("rows"),
+        F.max("__mean").alias("__mean"),
+        F.max("__spread").alias("__spread"),
+    )
+    moments = F.concat(F.array("__count"), vector_to_array(F.col("__sums.sum")))
+    return folded.select(
+        *keys, "rows", "__mean", "__spread", moments.alias("moments"), F.lit(degree).alias("degree")
+    )
 
-    def sums(feature: str) -> dict[str, Column]:
-        shift = F.col("__mean") if feature in _LEVEL else F.lit(0.0)
-        x, y = F.col(feature) - shift, F.col("y") - F.col("__mean")
-        return {"sx": x, "sy": y, "sxx": x * x, "sxy": x * y}
 
-    parts = {"n": F.lit(1.0)}
-    for name, feature in SIMPLE_STRATEGIES.items():
-        parts |= {f"{name}_{k}": c for k, c in sums(feature).items()}
-    train = frame.where(~F.col("is_test"))
-    prefix = train.groupBy(*keys).agg(*[F.sum(c).alias(f"b_{k}") for k, c in parts.items()])
-    w = W.partitionBy(*keys).orderBy(*spec.order).rowsBetween(W.unboundedPreceding, -1)
-    tail = _test_rows(frame, spec).join(prefix, keys)
-    so_far = tail.withColumns(
-        {f"m_{k}": F.col(f"b_{k}") + F.coalesce(F.sum(c).over(w), F.lit(0.0)) for k, c in parts.items()}
+def test_rows(history: DataFrame, spec: SeriesSpec = SeriesSpec()) -> DataFrame:
+    """The test rows as rows again."""
+    exploded = history.select(*spec.keys, F.explode("rows").alias("__r"))
+    return exploded.select(*spec.keys, "__r.*")
+
+
+def _kept(spec: SeriesSpec) -> list[str]:
+    return [*spec.keys, *spec.order, spec.value, "y"]
+
+
+def naive_forecast(history: DataFrame, spec: SeriesSpec = SeriesSpec()) -> DataFrame:
+    """Last close as the prediction."""
+    return test_rows(history, spec).select(
+        *_kept(spec), F.lit(NAIVE).alias("strategy"), F.col("previous_close").alias("prediction")
+    )
+
+
+def walk_forward_simple(
+    history: DataFrame, degree: int = 1, spec: SeriesSpec = SeriesSpec()
+) -> DataFrame:
+    """Expanding one-feature fits: each test row is predicted from all earlier
+    rows of its series.  ``degree`` is that of ``history``.
+
+    The window runs over the test rows only, at most ``test_days`` per series.
+    """
+    place = {p: i + 1 for i, p in enumerate(expansion_order(len(MODEL_FEATURES) + 1, 2 * degree))}
+    target = len(MODEL_FEATURES)
+
+    def base(**powers: int) -> Column:
+        exponents = [0] * (target + 1)
+        for name, p in powers.items():
+            exponents[target if name == "y" else MODEL_FEATURES.index(name)] = p
+        return F.element_at("moments", place[tuple(exponents)])
+
+    exploded = history.withColumn("__r", F.explode("rows")).select(
+        *spec.keys, "__mean", "__spread", "moments", "__r.*"
     )
+    w = W.partitionBy(*spec.keys).orderBy(*spec.order).rowsBetween(W.unboundedPreceding, -1)
+
+    def so_far(start: Column, row: Column) -> Column:
+        return start + F.coalesce(F.sum(row).over(w), F.lit(0.0))
+
+    y = _scaled_target()
+    sums = {"n": so_far(base(), F.lit(1.0)), "sy": so_far(base(y=1), y)}
+    for name, feature in SIMPLE_STRATEGIES.items():
+        x = _scaled(F.col(feature), feature)
+        sums[f"{name}_sx"] = so_far(base(**{feature: 1}), x)
+        sums[f"{name}_sxx"] = so_far(base(**{feature: 2}), x * x)
+        sums[f"{name}_sxy"] = so_far(base(**{feature: 1, "y": 1}), x * y)
+    summed = exploded.withColumns({f"__{k}": c for k, c in sums.items()})
     columns = {}
+    n, sy = F.col("__n"), F.col("__sy")
     for name, feature in SIMPLE_STRATEGIES.items():
-        n = F.col("m_n")
-        sx, sy, sxx, sxy = (F.col(f"m_{name}_{k}") for k in ("sx", "sy", "sxx", "sxy"))
+        sx, sxx, sxy = (F.col(f"__{name}_{k}") for k in ("sx", "sxx", "sxy"))
         slope = F.coalesce(F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx), F.lit(0.0))
-        shift = F.col("__mean") if feature in _LEVEL else F.lit(0.0)
-        x = F.col(feature) - shift
-        columns[f"p_{name}"] = F.col("__mean") + (sy - slope * sx) / n + slope * x
-    kept = [*keys, *spec.order, spec.value, "y"]
-    wide = so_far.withColumns(columns).select(*kept, *columns)
-    return long_predictions(wide, kept)
-
-
-def _scaled(feature: str) -> Column:
-    shift = F.col("__mean") if feature in _LEVEL else F.lit(0.0)
-    scale = F.col("__spread") if feature in _PRICE_SCALE else F.lit(1.0)
-    return (F.col(feature) - shift) / scale
+        line = (sy - slope * sx) / n + slope * _scaled(F.col(feature), feature)
+        columns[f"p_{name}"] = F.col("__mean") + F.col("__spread") * line
+    wide = summed.withColumns(columns).select(*_kept(spec), *columns)
+    return long_predictions(wide, _kept(spec))
 
 
 def walk_forward_polynomial(
-    frame: DataFrame,
+    history: DataFrame,
     degrees: Sequence[int] = (1,),
+    degree: int | None = None,
     spec: SeriesSpec = SeriesSpec(),
-    features: Sequence[str] = MODEL_FEATURES,
 ) -> DataFrame:
     """Expanding fits on all model features, for several degrees at once.
+    ``degree`` is that of ``history`` (by default the highest of ``degrees``).
 
-    The moments of the highest degree contain those of the lower ones.  Degrees
-    above 3 are refused: their normal equations have no reliable digits left.
+    Degrees above 3 are refused: their normal equations have no reliable digits.
     """
     if max(degrees) > 3:
         raise ValueError("walk-forward fits support degrees 1 to 3")
+    top = degree or max(degrees)
     keys = list(spec.keys)
-    x = [_scaled(f) for f in features]
-    y = (F.col("y") - F.col("__mean")) / F.col("__spread")
-    top = max(degrees)
-    train = frame.where(~F.col("is_test"))
-    named = [f"x{i}" for i in range(len(x))]
-    slim = train.select(*keys, *[c.alias(n) for c, n in zip(x, named)], y.alias("yy"))
-    values = moment_columns([F.col(n) for n in named], F.col("yy"), top)
-    prefix = slim.groupBy(*keys).agg(*[F.sum(c).alias(f"m{i}") for i, c in enumerate(values)])
-    prefix = prefix.select(*keys, F.array(*[f"m{i}" for i in range(len(values))]).alias("moments"))
-    # A series has at most ``test_days`` test rows, so the list stays short.
-    row = F.struct(
-        *spec.order,
-        spec.value,
-        F.col("y"),
-        F.array(*x).alias("x"),
-        y.alias("yy"),
-    )
-    tail = (
-        _test_rows(frame, spec)
-        .groupBy(*keys)
-        .agg(
-            F.array_sort(F.collect_list(row)).alias("rows"),
-            F.max("__mean").alias("__mean"),
-            F.max("__spread").alias("__spread"),
-        )
-    )
-    predict = expanding_predictions(len(x), top, degrees)
-    out = tail.join(prefix, keys).withColumn(
-        "p", predict("moments", F.col("rows.x"), F.col("rows.yy"))
+    features = F.transform(
+        "rows", lambda r: F.array(*[_scaled(r[f], f) for f in MODEL_FEATURES])
     )
+    target = F.transform("rows", lambda r: (r["y"] - F.col("__mean")) / F.col("__spread"))
+    predict = expanding_predictions(len(MODEL_FEATURES), top, degrees)
+    out = history.withColumn("p", predict("moments", features, target))
     size = F.size("rows")
 
-    def labelled(at: int, degree: int) -> Column:
+    def labelled(at: int, d: int) -> Column:
         # Predictions come degree by degree, each in row order.
         return F.transform(
             "rows",
             lambda r, i: F.named_struct(
                 F.lit("strategy"),
-                F.lit(strategy_name(degree)),
+                F.lit(strategy_name(d)),
                 F.lit("row"),
                 r,
                 F.lit("p"),
@@ -488,14 +527,6 @@ def walk_forward_polynomial(
     )
 
 
-def naive_forecast(frame: DataFrame, spec: SeriesSpec = SeriesSpec()) -> DataFrame:
-    """Last close as the prediction."""
-    kept = [*spec.keys, *spec.order, spec.value, "y"]
-    return _test_rows(frame, spec).select(
-        *kept, F.lit(NAIVE).alias("strategy"), F.col("previous_close").alias("prediction")
-    )
-
-
 def direction_accuracy(predictions: DataFrame, spec: SeriesSpec = SeriesSpec()) -> DataFrame:
     """Share of steps whose direction was predicted, and suggested buys.
 

@@ -15,7 +15,7 @@ from candlewick.operators.features import FEATURES
 from candlewick.operators.layout import Layout
 from candlewick.plans import workflows
 from candlewick.plans.storage import settle
-from candlewick.sources.tables import EVENTS, ORDERS, prices, prices_orders, prices_wide, returns
+from candlewick.sources.tables import ORDERS, prices, prices_orders, prices_wide, returns
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -346,32 +346,29 @@ def model_quality(spark, sf):
 
 @query
 def walk_forward_simple(spark, sf):
-    frame = models.test_frame(prices_wide(spark, sf), SHORT_TAIL)
-    out = models.walk_forward_simple(frame)
+    history = models.fold_history(models.test_frame(prices_wide(spark, sf), SHORT_TAIL))
+    out = models.walk_forward_simple(history)
     return rounded(out.select("symbol", "event_id", "close", "strategy", "prediction"), 4)
 
 
 @query
 def walk_forward_linear(spark, sf):
-    frame = models.test_frame(prices_wide(spark, sf), SHORT_TAIL)
-    out = models.walk_forward_polynomial(frame, (1,))
+    history = models.fold_history(models.test_frame(prices_wide(spark, sf), SHORT_TAIL))
+    out = models.walk_forward_polynomial(history, (1,))
     return rounded(out.select("symbol", "event_id", "close", "strategy", "prediction"), 3)
 
 
 @query
 def walk_forward_polynomial(spark, sf):
-    frame = models.test_frame(prices(spark, sf), LONG_TAIL)
-    out = models.walk_forward_polynomial(frame, (1, 2))
+    history = models.fold_history(models.test_frame(prices(spark, sf), LONG_TAIL), degree=2)
+    out = models.walk_forward_polynomial(history, (1, 2))
     return rounded(out.select("symbol", "event_id", "close", "strategy", "prediction"), 2)
 
 
 # -- backtest ------------------------------------------------------------------------
 def _predicted(source: DataFrame, tail_rows: int) -> tuple[DataFrame, DataFrame]:
     """Predictions of the naive and the one-feature strategies, and the tail."""
-    frame = models.test_frame(source, tail_rows)
-    predicted = workflows.predictions(frame, (), simple=True)
-    naive = predicted.where(F.col("strategy") == models.NAIVE)
-    return predicted, naive.select(*EVENTS.keys, *EVENTS.order, EVENTS.value)
+    return workflows.predict(source, (), simple=True, test_days=tail_rows)
 
 
 def _daily(spark: SparkSession, sf: str) -> DataFrame:

@@ -94,21 +94,43 @@ def compare_models(
 
 
 def predictions(
-    frame: DataFrame,
+    history: DataFrame,
     degrees: Sequence[int] = (1, 2, 3),
     simple: bool = False,
     spec: SeriesSpec = SeriesSpec(),
 ) -> DataFrame:
-    """Walk-forward predictions of the test rows of ``frame``."""
+    """Walk-forward predictions of the test rows in ``history``, which must have
+    been folded for the highest of ``degrees``."""
     parts = []
+    top = max(degrees, default=1)
     if degrees:
-        parts.append(models.walk_forward_polynomial(frame, degrees, spec))
+        parts.append(models.walk_forward_polynomial(history, degrees, top, spec))
     if simple:
-        parts.append(models.walk_forward_simple(frame, spec))
-        parts.append(models.naive_forecast(frame, spec))
+        parts.append(models.walk_forward_simple(history, top, spec))
+        parts.append(models.naive_forecast(history, spec))
     return _union(parts)
 
 
+def predict(
+    prices: DataFrame,
+    degrees: Sequence[int] = (1, 2, 3),
+    simple: bool = False,
+    test_days: int = TEST_DAYS,
+    spec: SeriesSpec = SeriesSpec(),
+    target: str = "close",
+    min_train: int = MIN_TRAIN_ROWS,
+    drop_any: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(predictions, test rows).  The price history is read once and folded into
+    one stored row per series; both results read only that."""
+    frame = models.test_frame(
+        prices, test_days, min_train, spec, target=target, drop_any=drop_any
+    )
+    history = settle(models.fold_history(frame, max(degrees, default=1), spec))
+    tail = models.test_rows(history, spec).select(*spec.keys, *spec.order, spec.value)
+    return predictions(history, degrees, simple, spec), tail
+
+
 def backtest(
     prices: DataFrame,
     degrees: Sequence[int] = (1, 2, 3),
@@ -120,17 +142,11 @@ def backtest(
     target: str = "close",
     min_train: int = MIN_TRAIN_ROWS,
 ) -> dict[str, DataFrame]:
-    """All symbols and strategies in one plan.
-
-    The predictions (at most ``test_days`` rows per symbol and strategy) are
-    stored once; every result reads them instead of the price history.
-    """
+    """All symbols and strategies in one plan."""
     chosen = stats.filter_symbols(prices, symbols or None)
-    frame = models.test_frame(chosen, test_days, min_train, spec, target=target, drop_any=True)
-    predicted = settle(predictions(frame, degrees, simple, spec))
-    # Every strategy predicts every test row, so one strategy lists them all.
-    kept = [*spec.keys, *spec.order, spec.value]
-    tail = predicted.select(*kept).distinct()
+    predicted, tail = predict(
+        chosen, degrees, simple, test_days, spec, target, min_train, drop_any=True
+    )
     return {
         "predictions": predicted,
         "days": bt.backtest_days(predicted, tail, capital, spec),
