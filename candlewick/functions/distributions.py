@@ -19,7 +19,10 @@ from pyspark.sql.types import DoubleType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _TINY = 1e-300
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _lgamma(values: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in values], dtype=float)
 
 
 def _beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:

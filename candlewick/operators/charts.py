@@ -31,9 +31,15 @@ def histogram(prices: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
             "hi": F.when(flat, F.col("high") + 0.5).otherwise(F.col("high")),
         }
     )
-    number = F.least(F.width_bucket("close", "lo", "hi", F.lit(bins)), F.lit(bins))
+    v, lo, width = F.col("close"), F.col("lo"), (F.col("hi") - F.col("lo")) / bins
+    near = F.floor((v - lo) / (F.col("hi") - lo) * bins).cast("int")
+    at = F.least(near, F.lit(bins - 1))
+    # Division may land next to the bin whose printed edges enclose the value.
+    shifted = F.when(v < lo + width * at, at - 1).when(
+        (v >= lo + width * (at + 1)) & (at < bins - 1), at + 1
+    )
     counted = (
-        rows.withColumn("bin", number.cast("int"))
+        rows.withColumn("bin", F.coalesce(shifted, at) + 1)
         .groupBy("symbol", "lo", "hi", "bin")
         .agg(F.sum("cnt").alias("cnt"))
     )
@@ -41,7 +47,6 @@ def histogram(prices: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     filled = counted.groupBy("symbol", "lo", "hi").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "cnt"))).alias("counts")
     )
-    width = (F.col("hi") - F.col("lo")) / bins
     return filled.select(
         "symbol", "lo", "hi", "counts", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")
     ).select(

@@ -170,40 +170,72 @@ def fit_quality(wide: DataFrame, y: str = "close") -> DataFrame:
 
 # -- k-fold ----------------------------------------------------------------------
 def kfold_simple(
-    matrix: DataFrame, feature: str, fold: Column, folds: int = FOLDS, y: str = "close"
+    matrix: DataFrame, strategies: dict[str, str], fold: Column, y: str = "close"
 ) -> DataFrame:
-    """Mean of the per-fold MSEs of a one-feature fit, and its root.
+    """Mean of the per-fold MSEs of one-feature fits, and its root.
 
-    Each fold's moments are summed once; a fold is trained on total - fold, and
-    its error follows from its own moments, so the rows are read one time.
+    One pass: central moments per fold, which merge without losing digits.  A
+    fold is trained on all others, and its error follows from its own moments.
     """
-    x_, y_ = F.col(feature), F.col(y)
-    # Shift both by the overall mean, so sums of squares keep their digits.
-    centre = matrix.agg(F.struct(F.avg(y_).alias("y"), F.avg(x_).alias("x"))).scalar()
-    rows = matrix.select(fold.alias("fold"), x_.alias("x"), y_.alias("y"), centre.alias("c"))
-    x, yy = F.col("x") - F.col("c.x"), F.col("y") - F.col("c.y")
-    sums = {"n": F.lit(1.0), "sx": x, "sy": yy, "sxx": x * x, "sxy": x * yy, "syy": yy * yy}
-    per_fold = rows.groupBy("fold").agg(*[F.sum(c).alias(k) for k, c in sums.items()])
-    # ``folds`` rows from here on.
-    every = W.partitionBy()
-    rest = per_fold.withColumns({f"t_{k}": F.sum(k).over(every) - F.col(k) for k in sums})
-    n, sx, sy, sxx, sxy = (F.col(f"t_{k}") for k in ("n", "sx", "sy", "sxx", "sxy"))
-    slope = F.coalesce(F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx), F.lit(0.0))
-    b = F.col("b")
-    a = F.col("a")
+    target = F.col(y)
+    aggregates = [F.count(F.lit(1)).alias("n"), F.avg(target).alias("my")]
+    aggregates.append(F.regr_syy(target, target).alias("cyy"))
+    for i, feature in enumerate(strategies.values()):
+        x = F.col(feature)
+        aggregates += [
+            F.avg(x).alias(f"mx{i}"),
+            F.regr_sxx(target, x).alias(f"cxx{i}"),
+            F.regr_sxy(target, x).alias(f"cxy{i}"),
+        ]
+    # One row per fold from here on.
+    per_fold = matrix.groupBy(fold.alias("fold")).agg(*aggregates)
+    table = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("strategy"),
+                F.col(f"mx{i}").alias("mx"),
+                F.col(f"cxx{i}").alias("cxx"),
+                F.col(f"cxy{i}").alias("cxy"),
+            )
+            for i, name in enumerate(strategies)
+        ]
+    )
+    rows = per_fold.select("n", "my", "cyy", F.explode(table).alias("s")).select(
+        "n", "my", "cyy", "s.*"
+    )
+    every = W.partitionBy("strategy")
+    n = F.col("n").cast("double")
+    # Distances to the overall means.
+    dx = F.col("mx") - F.sum(n * F.col("mx")).over(every) / F.sum(n).over(every)
+    dy = F.col("my") - F.sum(n * F.col("my")).over(every) / F.sum(n).over(every)
+    rows = rows.withColumns({"dx": dx, "dy": dy})
+    dx, dy = F.col("dx"), F.col("dy")
+    own = {
+        "n1": n,
+        "sx": n * dx,
+        "sy": n * dy,
+        "sxx": F.col("cxx") + n * dx * dx,
+        "sxy": F.col("cxy") + n * dx * dy,
+        "syy": F.col("cyy") + n * dy * dy,
+    }
+    rows = rows.withColumns(own)
+    rows = rows.withColumns({f"t_{k}": F.sum(k).over(every) - F.col(k) for k in own})
+    tn, sx, sy, sxx, sxy = (F.col(f"t_{k}") for k in ("n1", "sx", "sy", "sxx", "sxy"))
+    slope = F.coalesce(F.try_divide(tn * sxy - sx * sy, tn * sxx - sx * sx), F.lit(0.0))
+    rows = rows.withColumn("b", slope).withColumn("a", (sy - F.col("b") * sx) / tn)
+    a, b = F.col("a"), F.col("b")
     sse = (
         F.col("syy")
         - 2 * a * F.col("sy")
         - 2 * b * F.col("sxy")
-        + F.col("n") * a * a
+        + n * a * a
         + 2 * a * b * F.col("sx")
         + b * b * F.col("sxx")
     )
-    fitted = rest.withColumn("b", slope).withColumn("a", (sy - b * sx) / n)
-    scored = fitted.withColumn("mse", sse / F.col("n"))
-    return scored.agg(F.avg("mse").alias("mse"), F.count(F.lit(1)).alias("folds")).withColumn(
-        "rmse", F.sqrt("mse")
-    )
+    scored = rows.withColumn("mse", sse / n).groupBy("strategy")
+    return scored.agg(
+        F.count(F.lit(1)).alias("folds"), F.avg("mse").alias("mse")
+    ).withColumn("rmse", F.sqrt("mse"))
 
 
 def fold_of(key: str, folds: int = FOLDS) -> Column:

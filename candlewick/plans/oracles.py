@@ -1040,8 +1040,10 @@ ORACLES["histogram_20"] = with_(
         """ranges AS (SELECT symbol, CASE WHEN min(close) = max(close) THEN min(close) - 0.5 ELSE min(close) END AS lo,
           CASE WHEN min(close) = max(close) THEN max(close) + 0.5 ELSE max(close) END AS hi
           FROM prices WHERE close IS NOT NULL GROUP BY symbol)""",
-        """placed AS (SELECT symbol, least(floor((close - lo) / (hi - lo) * 20)::INTEGER + 1, 20) AS bin,
-          count(*) AS n FROM prices JOIN ranges USING (symbol) WHERE close IS NOT NULL GROUP BY 1, 2)""",
+        """placed AS (SELECT symbol, b::INTEGER AS bin, count(*) AS n FROM prices JOIN ranges USING (symbol)
+          JOIN range(1, 21) t(b) ON close >= lo + (hi - lo) / 20 * (b - 1)
+            AND (b = 20 OR close < lo + (hi - lo) / 20 * b)
+          WHERE close IS NOT NULL GROUP BY 1, 2)""",
         "bins AS (SELECT symbol, lo, hi, b::INTEGER AS bin FROM ranges, range(1, 21) t(b))",
     ],
     f"""SELECT symbol, bin, {r('lo + (hi - lo) / 20 * (bin - 1)', 6, 'bin_lo')},

@@ -289,12 +289,8 @@ def rmse_vs_best(spark, sf):
 
 @query
 def kfold_rmse(spark, sf):
-    matrix = _matrix(spark, sf)
-    parts = []
-    for name, feature in models.SIMPLE_STRATEGIES.items():
-        scored = models.kfold_simple(matrix, feature, models.fold_of("event_id"))
-        parts.append(scored.select(F.lit(name).alias("strategy"), "folds", "mse", "rmse"))
-    return rounded(parts[0].unionByName(parts[1]), 6)
+    fold = models.fold_of("event_id")
+    return rounded(models.kfold_simple(_matrix(spark, sf), models.SIMPLE_STRATEGIES, fold), 6)
 
 
 @query
