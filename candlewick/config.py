@@ -25,6 +25,9 @@ MODEL_FEATURES = ("mean_7d", "std_7d", "return_7d", "momentum_7d", "volatility_7
 # Rows one task may hold of one ordered series before the series is split.
 SLICE_ROWS_CONF = "spark.candlewick.sliceRows"
 SLICE_ROWS = 4_000_000
+# Upper bound on the number of cut points kept in a plan.  Beyond it slices grow
+# past SLICE_ROWS instead; sorting a larger slice spills but works.
+MAX_SLICES = 16_384
 
 
 def slice_rows(spark: SparkSession) -> int:

@@ -99,10 +99,13 @@ def variability_normalized(prices: DataFrame) -> DataFrame:
     )
 
 
-def radar_metrics(prices: DataFrame, top: int = RADAR_TOP) -> DataFrame:
+def radar_metrics(
+    prices: DataFrame, top: int = RADAR_TOP, described: DataFrame | None = None
+) -> DataFrame:
     """The most volatile symbols with each metric divided by its maximum over
     all symbols (metrics whose maximum is not positive stay as they are)."""
-    table = dispersion_comparison(prices).withColumn("__cv", F.col("coef_variacao"))
+    table = dispersion_comparison(prices, described=described)
+    table = table.withColumn("__cv", F.col("coef_variacao"))
     every = W.partitionBy()
 
     def scaled(name: str):

@@ -12,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candlewick.config import slice_rows
 from candlewick.operators.layout import Layout
+from candlewick.storage import settle
 
 
 def value_counts(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
@@ -37,9 +39,12 @@ def with_quantiles(
     """One row per distinct value with ``cnt`` and, per group, ``n``, ``total``,
     ``low``, ``high`` and the linearly interpolated quantiles in ``marks``."""
     counts = value_counts(df, keys, value)
-    layout = Layout.plan(counts, keys, (value,), upper_bound=df.count)
+    if (rows := df.count()) > slice_rows(df.sparkSession):
+        # Planning and the sliced ranks below read the counts several times.
+        counts = settle(counts)
+    layout = Layout.plan(counts, keys, (value,), upper_bound=lambda: rows)
     v, cnt = F.col(value), F.col("cnt")
-    rows = layout.running(
+    ranked = layout.running(
         counts,
         {"__upto": cnt},
         {
@@ -50,7 +55,7 @@ def with_quantiles(
         },
     )
     if not marks:
-        return rows.drop("__upto"), layout
+        return ranked.drop("__upto"), layout
     picks, finish = {}, {}
     for name, p in marks.items():
         at = (F.col("n") - 1) * F.lit(float(p))
@@ -60,8 +65,8 @@ def with_quantiles(
         finish[name] = _interpolated(
             F.col(f"__{name}_lo"), F.col(f"__{name}_hi"), at - F.floor(at), p
         )
-    rows = layout.totals(rows, picks).withColumns(finish)
-    return rows.drop("__upto", *picks), layout
+    ranked = layout.totals(ranked, picks).withColumns(finish)
+    return ranked.drop("__upto", *picks), layout
 
 
 def describe_values(df: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:

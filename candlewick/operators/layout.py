@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from candlewick.config import slice_rows
+from candlewick.config import MAX_SLICES, slice_rows
 
 SLICE = "__slice"
 _OWN = "__own"
@@ -116,7 +116,7 @@ class Layout:
         pieces = math.ceil(sum(r["__n"] for r in rows) / limit)
         edges, heavy = _edges(_quantiles(hot_rows, order[0], pieces))
         tie_edges: list[float] = []
-        if heavy and len(order) > 1:
+        if heavy and len(order) > 1 and _countable(df, order[1]):
             tied = hot_rows.where(order_number(hot_rows, order[0]).isin(heavy))
             tie_pieces = math.ceil(tied.count() / limit)
             tie_edges = _edges(_quantiles(tied, order[1], tie_pieces))[0]
@@ -273,7 +273,13 @@ def _attach(rows: DataFrame, per_slice: DataFrame, keys: list[str]) -> DataFrame
     return rows.join(per_slice, keys, "left")
 
 
+def _countable(df: DataFrame, name: str) -> bool:
+    kind = df.schema[name].dataType
+    return isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 def _quantiles(df: DataFrame, name: str, pieces: int) -> list[float]:
+    pieces = min(pieces, MAX_SLICES)
     if pieces < 2:
         return []
     marks = [i / pieces for i in range(1, pieces)]

@@ -26,12 +26,22 @@ def distinct_symbols(df: DataFrame) -> DataFrame:
     return df.select("symbol").distinct()
 
 
+def describe_symbols(prices: DataFrame, symbols: Sequence[str] | None = None) -> DataFrame:
+    """The unrounded description of each symbol's closes, which the rounded
+    tables below are views of; pass it as ``described`` to share one."""
+    return describe_values(_chosen(prices, symbols), ("symbol",), "close")
+
+
 def _r2(c: Column | str) -> Column:
     return round_half_even(c, 2)
 
 
-def summary_statistics(prices: DataFrame, symbols: Sequence[str] | None = None) -> DataFrame:
-    d = describe_values(_chosen(prices, symbols), ("symbol",), "close")
+def summary_statistics(
+    prices: DataFrame,
+    symbols: Sequence[str] | None = None,
+    described: DataFrame | None = None,
+) -> DataFrame:
+    d = described if described is not None else describe_symbols(prices, symbols)
     return d.select(
         "symbol",
         _r2("mean").alias("mean"),
@@ -46,9 +56,13 @@ def _cv(std_dev: Column, mean: Column) -> Column:
     return _r2(F.try_divide(std_dev, mean) * 100)
 
 
-def dispersion_statistics(prices: DataFrame, symbols: Sequence[str] | None = None) -> DataFrame:
+def dispersion_statistics(
+    prices: DataFrame,
+    symbols: Sequence[str] | None = None,
+    described: DataFrame | None = None,
+) -> DataFrame:
     """The coefficient of variation divides by the unrounded mean here."""
-    d = describe_values(_chosen(prices, symbols), ("symbol",), "close")
+    d = described if described is not None else describe_symbols(prices, symbols)
     q1, q3, sd = _r2("q1"), _r2("q3"), _r2("std_dev")
     return d.select(
         "symbol",
@@ -62,10 +76,14 @@ def dispersion_statistics(prices: DataFrame, symbols: Sequence[str] | None = Non
     )
 
 
-def dispersion_comparison(prices: DataFrame, symbols: Sequence[str] | None = None) -> DataFrame:
+def dispersion_comparison(
+    prices: DataFrame,
+    symbols: Sequence[str] | None = None,
+    described: DataFrame | None = None,
+) -> DataFrame:
     """Dispersion side by side, most volatile first; this CV divides by the
     rounded mean."""
-    d = describe_values(_chosen(prices, symbols), ("symbol",), "close")
+    d = described if described is not None else describe_symbols(prices, symbols)
     q1, q3, sd, mean = _r2("q1"), _r2("q3"), _r2("std_dev"), _r2("mean")
     iqr = _r2(q3 - q1)
     return d.select(
@@ -84,14 +102,14 @@ def dispersion_comparison(prices: DataFrame, symbols: Sequence[str] | None = Non
 
 
 def mean_abs_deviation(prices: DataFrame) -> DataFrame:
-    d = describe_values(prices, ("symbol",), "close")
+    d = describe_symbols(prices)
     return d.select("symbol", F.col("mad").alias("mean_abs_deviation"))
 
 
-def volatility_ranking(prices: DataFrame) -> DataFrame:
+def volatility_ranking(prices: DataFrame, described: DataFrame | None = None) -> DataFrame:
     # One row per symbol, so the unpartitioned ranking window stays small.
     order = W.orderBy(F.col("coef_variacao").desc_nulls_last(), "symbol")
-    table = dispersion_comparison(prices)
+    table = dispersion_comparison(prices, described=described)
     return table.select(
         "symbol",
         "coef_variacao",

@@ -195,7 +195,7 @@ ORACLES["volatility_ranking"] = with_(
       rank() OVER (ORDER BY coef_variacao DESC NULLS LAST) AS rank FROM comparison""",
 )
 ORACLES["mean_abs_deviation"] = with_(
-    [WIDE, *described()], f"SELECT symbol, {r('mad', 6, 'mean_abs_deviation')} FROM described"
+    [WIDE, *described()], "SELECT symbol, mad::FLOAT::DOUBLE AS mean_abs_deviation FROM described"
 )
 VARIABILITY = "spread AS (SELECT symbol, stddev_samp(close) AS variability FROM prices GROUP BY symbol)"
 ORACLES["compare_variability"] = with_(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.config import MODEL_FEATURES
@@ -14,7 +14,7 @@ from candlewick.operators import charts, features, inference, models, reports, s
 from candlewick.operators.features import FEATURES
 from candlewick.operators.layout import Layout
 from candlewick.plans import workflows
-from candlewick.plans.storage import settle
+from candlewick.storage import settle
 from candlewick.sources.tables import ORDERS, prices, prices_orders, prices_wide, returns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,12 @@ def rounded(df: DataFrame, digits: int) -> DataFrame:
     )
 
 
+def _single(name: str) -> Column:
+    """Means of cents often end in an exact half at any decimal place; single
+    precision compares them without such ties."""
+    return F.col(name).cast("float").cast("double").alias(name)
+
+
 def _gapped(spark: SparkSession, sf: str) -> DataFrame:
     return prices(spark, sf).withColumn("close", F.when(F.col("close") >= GAP_BELOW, F.col("close")))
 
@@ -151,7 +157,8 @@ def volatility_ranking(spark, sf):
 
 @query
 def mean_abs_deviation(spark, sf):
-    return rounded(stats.mean_abs_deviation(prices_wide(spark, sf)), 6)
+    table = stats.mean_abs_deviation(prices_wide(spark, sf))
+    return table.select("symbol", _single("mean_abs_deviation"))
 
 
 @query
@@ -162,11 +169,9 @@ def compare_variability(spark, sf):
 @query
 def price_trends_monthly(spark, sf):
     trends = stats.price_trends_monthly(prices_orders(spark, sf), ORDERS.order)
-    # Means of cents often end in an exact half at any decimal place; single
-    # precision compares them without such ties.
-    mean = F.col("mean").cast("float").cast("double")
+    mean = _single("mean")
     exact = [round_half_even(c, 4).alias(c) for c in ("median", "mode", "close")]
-    return trends.select("symbol", "month_year", mean.alias("mean"), *exact)
+    return trends.select("symbol", "month_year", mean, *exact)
 
 
 @query

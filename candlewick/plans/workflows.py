@@ -22,7 +22,7 @@ from candlewick.config import (
 from candlewick.operators import backtest as bt
 from candlewick.operators import charts, inference, models, reports, stats
 from candlewick.operators.features import model_matrix, rolling_features
-from candlewick.plans.storage import settle
+from candlewick.storage import settle
 from candlewick.sources.csv import scan_banner_csv
 from candlewick.sources.sinks import write_combined
 
@@ -51,14 +51,16 @@ def describe(
     symbols: Sequence[str] | None = None,
     order: Sequence[str] = ("date", "event_id"),
 ) -> dict[str, DataFrame]:
-    """Every descriptive table, as independent lazy plans."""
+    """Every descriptive table.  The per-symbol description is computed and
+    stored once; five tables are views of it."""
     chosen = stats.filter_symbols(prices, symbols or None)
+    d = settle(stats.describe_symbols(chosen))
     return {
-        "summary_statistics": stats.summary_statistics(chosen),
-        "dispersion_statistics": stats.dispersion_statistics(chosen),
-        "dispersion_comparison": stats.dispersion_comparison(chosen),
-        "volatility_ranking": stats.volatility_ranking(chosen),
-        "radar_metrics": charts.radar_metrics(chosen),
+        "summary_statistics": stats.summary_statistics(chosen, described=d),
+        "dispersion_statistics": stats.dispersion_statistics(chosen, described=d),
+        "dispersion_comparison": stats.dispersion_comparison(chosen, described=d),
+        "volatility_ranking": stats.volatility_ranking(chosen, described=d),
+        "radar_metrics": charts.radar_metrics(chosen, described=d),
         "histogram": charts.histogram(chosen),
         "boxplot": charts.boxplot_statistics(chosen),
         "variability": stats.compare_variability(chosen),
