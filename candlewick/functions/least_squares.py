@@ -1,8 +1,9 @@
-"""Least squares from summed moments.
+"""Least squares from summed products.
 
-Sums of products add up across rows, partitions and time, so one pass of
-partial aggregation replaces any number of refits.  Only the solve, on a few
-numbers per group, happens in Python (Arrow batches).
+The products of all terms with each other and with the target add up across
+rows, tasks and time.  One pass that sums them replaces any number of refits:
+the small matrix of a group gives the fit of every polynomial up to its degree,
+and the error of any other fit on that group.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext, cloudpickle
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -32,53 +35,15 @@ def monomials(variables: int, degree: int) -> list[Powers]:
     return out
 
 
-def expansion_order(variables: int, degree: int) -> list[Powers]:
-    """Exponents in the order MLlib's ``PolynomialExpansion`` lists its output,
-    preceded by the constant it leaves out."""
-    if variables == 0:
-        return [()]
-    return [
-        (*shorter, last)
-        for last in range(degree + 1)
-        for shorter in expansion_order(variables - 1, degree - last)
-    ]
-
-
-class MomentSolver:
-    """Least-squares fits from sums of monomials of (features..., target).
-
-    A moment vector holds the row count and the sums of all monomials up to
-    twice ``degree``, in expansion order; it determines the fit of every
-    polynomial of at most ``degree``.
-    """
-
-    def __init__(self, variables: int, degree: int) -> None:
-        self.variables = variables
-        order = expansion_order(variables + 1, 2 * degree)
-        self.powers = np.array(order)
-        self.where = {p: i for i, p in enumerate(order)}
-        self.places: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def design(self, x: np.ndarray, degree: int) -> np.ndarray:
-        terms = np.array(monomials(self.variables, degree))
-        return np.prod(x[..., None, :] ** terms, axis=-1)
-
-    def vector(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Moment vector of each single row."""
-        z = np.column_stack([x, y])
-        return np.prod(z[:, None, :] ** self.powers, axis=-1)
-
-    def normal(self, m: np.ndarray, degree: int) -> tuple[np.ndarray, np.ndarray]:
-        if degree not in self.places:
-            terms = monomials(self.variables, degree)
-            square = [[self.where[(*np.add(p, q).tolist(), 0)] for q in terms] for p in terms]
-            cross = [self.where[(*p, 1)] for p in terms]
-            self.places[degree] = np.array(square), np.array(cross)
-        square, cross = self.places[degree]
-        return m[square], m[cross]
-
-    def solve(self, m: np.ndarray, degree: int) -> np.ndarray:
-        return solve_normal(*self.normal(m, degree))
+def expand(x: np.ndarray, terms: list[Powers]) -> np.ndarray:
+    """Terms of many rows, each from a shorter term times one variable."""
+    index = {t: i for i, t in enumerate(terms)}
+    out = np.ones((len(x), len(terms)))
+    for i, t in enumerate(terms[1:], start=1):
+        last = max(j for j, p in enumerate(t) if p)
+        shorter = tuple(p - (j == last) for j, p in enumerate(t))
+        out[:, i] = out[:, index[shorter]] * x[:, last]
+    return out
 
 
 def solve_normal(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
@@ -90,102 +55,144 @@ def solve_normal(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
     return solution / size
 
 
-def expanding_predictions(variables: int, max_degree: int, degrees: Sequence[int]):
-    """UDF: (moment vector of the training rows, features, targets of the test
-    rows in order) -> one prediction per degree and test row, degree by degree.
+def _groups(batch: pa.RecordBatch, keys: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray]]:
+    """(key values, row numbers) of each key in a batch."""
+    codes = np.zeros(batch.num_rows, dtype=np.int64)
+    for k in keys:
+        encoded = batch.column(k).dictionary_encode()
+        codes = codes * (len(encoded.dictionary) + 1) + encoded.indices.to_numpy(zero_copy_only=False)
+    rows = np.argsort(codes, kind="stable")
+    cuts = np.flatnonzero(np.diff(codes[rows])) + 1
+    for part in np.split(rows, cuts):
+        first = int(part[0])
+        yield tuple(batch.column(k)[first].as_py() for k in keys), part
+
+
+# A task sends on what it has summed once its matrices fill this many bytes.
+_MATRIX_BYTES = 64 << 20
+
 
-    Before each further test row, the rows already passed join the moments.
+def sum_products(
+    keys: Sequence[str], inputs: Sequence[str], degree: int, passed: Sequence[str] = ()
+) -> Callable:
+    """Task function for ``mapInArrow``.
+
+    Sums, per key, the products of all terms of ``inputs`` (features, then the
+    target).  Output rows are (keys, passed, gram): one row per key summed, and,
+    if ``passed`` is given, the rows flagged ``is_test`` unsummed with a null
+    gram.  A key may come out several times; the caller adds up.
     """
-    degrees = tuple(degrees)
+    terms = monomials(len(inputs) - 1, degree)
+    width = len(terms) + 1
+    most = max(16, _MATRIX_BYTES // (8 * width * width))
+
+    def summed(sums: dict[tuple, np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+        n = len(sums)
+        arrays = [
+            pa.array([label[i] for label in sums], schema.field(k).type) for i, k in enumerate(keys)
+        ]
+        arrays += [pa.nulls(n, schema.field(c).type) for c in passed]
+        flat = np.concatenate([g.ravel() for g in sums.values()])
+        offsets = pa.array(np.arange(n + 1) * width * width, pa.int32())
+        arrays.append(pa.ListArray.from_arrays(offsets, pa.array(flat)))
+        return pa.RecordBatch.from_arrays(arrays, names=[*keys, *passed, "gram"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            if passed:
+                flag = batch.column("is_test")
+                tests = batch.filter(flag)
+                if tests.num_rows:
+                    arrays = [tests.column(c) for c in (*keys, *passed)]
+                    arrays.append(pa.nulls(tests.num_rows, pa.list_(pa.float64())))
+                    yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *passed, "gram"])
+                batch = batch.filter(pc.invert(flag))
+            if not batch.num_rows:
+                continue
+            x = np.column_stack(
+                [batch.column(c).to_numpy(zero_copy_only=False) for c in inputs[:-1]]
+            )
+            y = batch.column(inputs[-1]).to_numpy(zero_copy_only=False)
+            z = np.column_stack([expand(x, terms), y])
+            for label, rows in _groups(batch, keys):
+                part = z[rows]
+                sums[label] = sums.get(label, 0.0) + part.T @ part
+            if len(sums) >= most:
+                yield summed(sums, schema)
+                sums = {}
+        if sums:
+            yield summed(sums, schema)
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def predict(moments: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
-        solver = MomentSolver(variables, max_degree)
-        results = []
-        for m, x, y in zip(moments, xs, ys):
-            x = np.stack([np.asarray(row, dtype=float) for row in x])
-            y = np.asarray(y, dtype=float)
-            added = np.cumsum(solver.vector(x, y), axis=0)
-            m = np.asarray(m, dtype=float)
-            states = np.vstack([m[None, :], m[None, :] + added[:-1]])
-            out = []
-            for d in degrees:
-                design = solver.design(x, d)
-                out.extend(
-                    float(design[i] @ solver.solve(state, d)) for i, state in enumerate(states)
-                )
-            results.append(out)
-        return pd.Series(results)
+    return run
 
-    return predict
 
+class GramSolver:
+    """Fits of any degree up to ``degree`` from a matrix of summed products."""
 
-# -- sums of products for cross-validation ---------------------------------------
-gram_schema = "fold int, task int, unit double, gram array<double>"
+    def __init__(self, variables: int, degree: int) -> None:
+        self.terms = monomials(variables, degree)
+        self.width = len(self.terms) + 1
 
+    def used(self, degree: int) -> list[int]:
+        return [i for i, t in enumerate(self.terms) if sum(t) <= degree]
 
-def _expand(x: np.ndarray, terms: list[Powers]) -> np.ndarray:
-    """Monomials of many rows, each term from a shorter one times one variable."""
-    index = {t: i for i, t in enumerate(terms)}
-    out = np.ones((len(x), len(terms)))
-    for i, t in enumerate(terms[1:], start=1):
-        last = max(j for j, p in enumerate(t) if p)
-        shorter = tuple(p - (j == last) for j, p in enumerate(t))
-        out[:, i] = out[:, index[shorter]] * x[:, last]
-    return out
+    def rows(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.column_stack([expand(x, self.terms), y])
 
+    def solve(self, gram: np.ndarray, degree: int) -> np.ndarray:
+        use = self.used(degree)
+        return solve_normal(gram[np.ix_(use, use)], gram[use, -1])
 
-def gram_batches(variables: int, degree: int) -> Callable:
-    """Task function: per fold, the products of all terms and the target."""
-    terms = monomials(variables, degree)
+    def error(self, gram: np.ndarray, beta: np.ndarray, degree: int) -> float:
+        """Sum of squared errors of ``beta`` on the rows summed in ``gram``."""
+        use = self.used(degree)
+        own = gram[np.ix_(use, use)]
+        return float(gram[-1, -1] - 2 * beta @ gram[use, -1] + beta @ own @ beta)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
-        unit = 1.0
-        for batch in batches:
-            values = batch[[f"x{i}" for i in range(variables + 1)]].to_numpy(dtype=float)
-            z = np.column_stack([_expand(values[:, :-1], terms), values[:, -1]])
-            folds = batch["fold"].to_numpy()
-            for f in np.unique(folds):
-                part = z[folds == f]
-                sums[int(f)] = sums.get(int(f), 0.0) + part.T @ part
-            if len(batch):
-                unit = float(batch["unit"].iloc[0])
-        task = TaskContext.get().partitionId()
-        for f, g in sums.items():
-            yield pd.DataFrame({"fold": [f], "task": [task], "unit": [unit], "gram": [g.ravel()]})
 
-    return run
+def expanding_predictions(variables: int, max_degree: int, degrees: Sequence[int]):
+    """UDF: (summed products of the training rows, features and targets of the
+    test rows in order) -> one prediction per degree and test row, degree by
+    degree.  Before each further test row, the row just passed is added.
+    """
+    degrees = tuple(degrees)
 
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def predict(grams: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+        solver = GramSolver(variables, max_degree)
+        results = []
+        for g, x, y in zip(grams, xs, ys):
+            x = np.stack([np.asarray(row, dtype=float) for row in x])
+            z = solver.rows(x, np.asarray(y, dtype=float))
+            state = np.array(g, dtype=float).reshape(solver.width, solver.width)
+            out = np.empty((len(degrees), len(z)))
+            for i, row in enumerate(z):
+                for k, d in enumerate(degrees):
+                    out[k, i] = row[solver.used(d)] @ solver.solve(state, d)
+                state = state + np.outer(row, row)
+            results.append(out.ravel())
+        return pd.Series(results)
 
-def sum_grams(part: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum(np.stack(part["gram"].to_list()), axis=0)
-    first = part.iloc[0]
-    return pd.DataFrame(
-        {"fold": [first["fold"]], "task": [first["task"]], "unit": [first["unit"]], "gram": [total]}
-    )
+    return predict
 
 
 def fold_errors(variables: int, degree: int, degrees: Sequence[int]) -> Callable:
     """Group function over all folds: mean of the held-out MSEs per degree."""
     degrees = tuple(degrees)
-    terms = monomials(variables, degree)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        width = len(terms) + 1
-        grams = np.stack(part["gram"].to_list()).reshape(-1, width, width)
+        solver = GramSolver(variables, degree)
+        grams = np.stack(part["gram"].to_list()).reshape(-1, solver.width, solver.width)
         total = grams.sum(axis=0)
         unit = float(part["unit"].iloc[0])
         rows = []
         for d in degrees:
-            use = [i for i, t in enumerate(terms) if sum(t) <= d]
-            errors = []
-            for held in grams:
-                train = total - held
-                beta = solve_normal(train[np.ix_(use, use)], train[use, -1])
-                cross, own = held[use, -1], held[np.ix_(use, use)]
-                sse = held[-1, -1] - 2 * beta @ cross + beta @ own @ beta
-                errors.append(sse / held[0, 0])
+            errors = [
+                solver.error(held, solver.solve(total - held, d), d) / held[0, 0] for held in grams
+            ]
             rows.append((d, len(grams), float(np.mean(errors)) * unit * unit))
         return pd.DataFrame(rows, columns=["degree", "folds", "mse"])
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     GBTRegressor,
@@ -23,15 +23,14 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from candlewick.config import FOLDS, MIN_TRAIN_ROWS, MODEL_FEATURES, TEST_DAYS, SeriesSpec
 from candlewick.functions.least_squares import (
     expanding_predictions,
-    expansion_order,
     fold_errors,
-    gram_batches,
-    gram_schema,
-    sum_grams,
+    monomials,
+    sum_products,
 )
 from candlewick.operators.features import (
     complete_rows,
@@ -257,10 +256,10 @@ def kfold_polynomial(
 ) -> DataFrame:
     """Cross-validated mean MSE and its root for several polynomial degrees.
 
-    One pass: each task adds up the products of the highest degree's terms per
-    fold (``folds`` small matrices); the sums meet in two steps, so no task
-    receives a matrix from every other one.  Fits and errors of all degrees and
-    folds follow from the summed matrices.
+    One pass: each task sums the products of the highest degree's terms per fold
+    (``folds`` small matrices).  The matrices meet in two steps, so no task
+    receives one from every other task.  Fits and errors of all degrees and folds
+    follow from the sums.
     """
     top = max(degrees)
     names = [*features, y]
@@ -272,17 +271,19 @@ def kfold_polynomial(
         spread = F.col(f"__l.s_{c}")
         return (F.col(c) - F.col(f"__l.m_{c}")) / F.when(spread > 0, spread).otherwise(1.0)
 
+    inputs = [f"x{i}" for i in range(len(names))]
     rows = matrix.withColumn("__l", level).select(
         fold.alias("fold"),
-        *[standard(c).alias(f"x{i}") for i, c in enumerate(names)],
-        F.coalesce(F.col(f"__l.s_{y}"), F.lit(1.0)).alias("unit"),
+        F.spark_partition_id().alias("task"),
+        *[standard(c).alias(x) for c, x in zip(names, inputs)],
     )
-    partial = rows.mapInPandas(gram_batches(len(features), top), gram_schema)
-    halfway = partial.groupBy("fold", F.pmod(F.col("task"), F.lit(64)).alias("task"))
-    merged = halfway.applyInPandas(sum_grams, gram_schema)
-    per_fold = merged.groupBy("fold").applyInPandas(sum_grams, gram_schema)
+    schema = "fold int, task int, gram array<double>"
+    partial = rows.mapInArrow(sum_products(("fold", "task"), inputs, top), schema)
+    halfway = partial.groupBy("fold", F.pmod("task", F.lit(64)).alias("task")).agg(_added("gram"))
+    per_fold = halfway.groupBy("fold").agg(_added("gram"))
     # ``folds`` rows meet here.
-    scored = per_fold.withColumn("all", F.lit(1)).groupBy("all")
+    unit = matrix.agg(F.stddev_samp(y)).scalar()
+    scored = per_fold.select("gram", unit.alias("unit")).groupBy()
     return scored.applyInPandas(
         fold_errors(len(features), top, degrees), "degree int, folds int, mse double"
     ).select(
@@ -294,6 +295,14 @@ def kfold_polynomial(
     )
 
 
+def _added(gram: str) -> Column:
+    """Element-wise sum of an array column; null arrays do not count."""
+    vector = array_to_vector(F.coalesce(F.col(gram), F.array().cast("array<double>")))
+    weight = F.when(F.col(gram).isNull(), 0.0).otherwise(1.0)
+    summed = Summarizer.metrics("sum").summary(vector, weight)
+    return vector_to_array(summed["sum"]).alias(gram)
+
+
 def strategy_name(degree: int) -> str:
     return "LinearRegression" if degree == 1 else f"PolynomialRegression_degree_{degree}"
 
@@ -415,39 +424,35 @@ def _scaled_target() -> Column:
 
 
 def fold_history(frame: DataFrame, degree: int = 1, spec: SeriesSpec = SeriesSpec()) -> DataFrame:
-    """One row per series: the moments of its training rows and its test rows.
+    """One row per series: the summed products of its training rows (``gram``)
+    and its test rows.
 
-    This is the only pass over the history.  Training rows are summed with
-    map-side combine (weight 0 leaves the test rows out); the test rows, at most
-    ``test_days`` per series, come along as a sorted list.  Every walk-forward
-    strategy of up to ``degree`` follows from the result.
+    This is the only pass over the history.  Each task sums its training rows
+    before anything is shuffled; the test rows, at most ``test_days`` per
+    series, come along as a sorted list.  Every walk-forward strategy of up to
+    ``degree`` follows from the result.
     """
     keys = list(spec.keys)
-    terms = [f"__x{i}" for i in range(len(MODEL_FEATURES))]
-    rows = frame.withColumns(
-        {t: _scaled(F.col(f), f) for t, f in zip(terms, MODEL_FEATURES)}
-        | {
-            "__y": _scaled_target(),
-            "__train": F.when(F.col("is_test"), 0.0).otherwise(1.0),
-            "__row": F.when(
-                F.col("is_test"),
-                F.struct(*spec.order, spec.value, "y", "previous_close", *MODEL_FEATURES),
-            ),
-        }
+    inputs = [f"__x{i}" for i in range(len(MODEL_FEATURES))] + ["__y"]
+    scaled = [_scaled(F.col(f), f) for f in MODEL_FEATURES] + [_scaled_target()]
+    row = [*spec.order, spec.value, "y", "previous_close", *MODEL_FEATURES]
+    passed = [*row, "__mean", "__spread"]
+    rows = frame.select(
+        *keys, *passed, "is_test", *[c.alias(n) for c, n in zip(scaled, inputs)]
     )
-    rows = VectorAssembler(inputCols=[*terms, "__y"], outputCol="__z").transform(rows)
-    rows = PolynomialExpansion(degree=2 * degree, inputCol="__z", outputCol="__terms").transform(rows)
-    folded = rows.groupBy(*keys).agg(
-        F.sum("__train").alias("__count"),
-        Summarizer.metrics("sum").summary(F.col("__terms"), F.col("__train")).alias("__sums"),
-        F.array_sort(F.collect_list("__row")).alias("rows"),
+    schema = StructType([rows.schema[c] for c in (*keys, *passed)])
+    schema = schema.add("gram", ArrayType(DoubleType()))
+    # Summed rows carry nulls in the passed columns.
+    for field in schema.fields:
+        field.nullable = True
+    parts = rows.mapInArrow(sum_products(keys, inputs, degree, passed), schema)
+    test_row = F.when(F.col("gram").isNull(), F.struct(*row))
+    return parts.groupBy(*keys).agg(
+        _added("gram"),
+        F.array_sort(F.collect_list(test_row)).alias("rows"),
         F.max("__mean").alias("__mean"),
         F.max("__spread").alias("__spread"),
     )
-    moments = F.concat(F.array("__count"), vector_to_array(F.col("__sums.sum")))
-    return folded.select(
-        *keys, "rows", "__mean", "__spread", moments.alias("moments"), F.lit(degree).alias("degree")
-    )
 
 
 def test_rows(history: DataFrame, spec: SeriesSpec = SeriesSpec()) -> DataFrame:
@@ -475,17 +480,15 @@ def walk_forward_simple(
 
     The window runs over the test rows only, at most ``test_days`` per series.
     """
-    place = {p: i + 1 for i, p in enumerate(expansion_order(len(MODEL_FEATURES) + 1, 2 * degree))}
-    target = len(MODEL_FEATURES)
+    # The gram lists the products row by row: constant, features, ..., target.
+    width = len(monomials(len(MODEL_FEATURES), degree)) + 1
+    last = width - 1
 
-    def base(**powers: int) -> Column:
-        exponents = [0] * (target + 1)
-        for name, p in powers.items():
-            exponents[target if name == "y" else MODEL_FEATURES.index(name)] = p
-        return F.element_at("moments", place[tuple(exponents)])
+    def base(i: int, j: int) -> Column:
+        return F.element_at("gram", i * width + j + 1)
 
     exploded = history.withColumn("__r", F.explode("rows")).select(
-        *spec.keys, "__mean", "__spread", "moments", "__r.*"
+        *spec.keys, "__mean", "__spread", "gram", "__r.*"
     )
     w = W.partitionBy(*spec.keys).orderBy(*spec.order).rowsBetween(W.unboundedPreceding, -1)
 
@@ -493,12 +496,12 @@ def walk_forward_simple(
         return start + F.coalesce(F.sum(row).over(w), F.lit(0.0))
 
     y = _scaled_target()
-    sums = {"n": so_far(base(), F.lit(1.0)), "sy": so_far(base(y=1), y)}
+    sums = {"n": so_far(base(0, 0), F.lit(1.0)), "sy": so_far(base(0, last), y)}
     for name, feature in SIMPLE_STRATEGIES.items():
-        x = _scaled(F.col(feature), feature)
-        sums[f"{name}_sx"] = so_far(base(**{feature: 1}), x)
-        sums[f"{name}_sxx"] = so_far(base(**{feature: 2}), x * x)
-        sums[f"{name}_sxy"] = so_far(base(**{feature: 1, "y": 1}), x * y)
+        x, at = _scaled(F.col(feature), feature), MODEL_FEATURES.index(feature) + 1
+        sums[f"{name}_sx"] = so_far(base(0, at), x)
+        sums[f"{name}_sxx"] = so_far(base(at, at), x * x)
+        sums[f"{name}_sxy"] = so_far(base(at, last), x * y)
     summed = exploded.withColumns({f"__{k}": c for k, c in sums.items()})
     columns = {}
     n, sy = F.col("__n"), F.col("__sy")
@@ -531,7 +534,7 @@ def walk_forward_polynomial(
     )
     target = F.transform("rows", lambda r: (r["y"] - F.col("__mean")) / F.col("__spread"))
     predict = expanding_predictions(len(MODEL_FEATURES), top, degrees)
-    out = history.withColumn("p", predict("moments", features, target))
+    out = history.withColumn("p", predict("gram", features, target))
     size = F.size("rows")
 
     def labelled(at: int, d: int) -> Column:

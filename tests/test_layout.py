@@ -77,7 +77,7 @@ def test_history_of_sliced_series(spark):
     for row in whole:
         other = sliced[row["symbol"]]
         assert [r["event_id"] for r in row["rows"]] == [r["event_id"] for r in other["rows"]]
-        assert row["moments"] == pytest.approx(other["moments"], rel=1e-6, abs=1e-6)
+        assert row["gram"] == pytest.approx(other["gram"], rel=1e-6, abs=1e-6)
 
 
 def test_sliced_distribution(spark):

@@ -1,14 +1,12 @@
 import numpy as np
 import pytest
-from pyspark.ml.feature import PolynomialExpansion
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from candlewick.config import MODEL_FEATURES
 from candlewick.functions.least_squares import (
-    MomentSolver,
+    GramSolver,
+    expand,
     expanding_predictions,
-    expansion_order,
     monomials,
 )
 from candlewick.operators import models
@@ -17,26 +15,40 @@ from candlewick.plans import workflows
 from helpers import SCHEMA, random_prices, series
 
 
-def test_expansion_order_is_mllibs(spark):
-    vector = [2.0, 3.0, 5.0]
-    data = spark.createDataFrame([(Vectors.dense(vector),)], ["v"])
-    got = PolynomialExpansion(degree=4, inputCol="v", outputCol="p").transform(data).first()["p"]
-    want = [np.prod(np.array(vector) ** p) for p in expansion_order(3, 4)[1:]]
-    assert got.toArray().tolist() == want
+def test_terms():
+    x = np.array([[2.0, 3.0, 5.0], [1.0, -2.0, 0.5]])
+    terms = monomials(3, 4)
+    assert len(terms) == 35 and terms[:4] == [(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)]
+    want = np.stack([np.prod(x ** np.array(t), axis=1) for t in terms], axis=1)
+    assert expand(x, terms).tolist() == want.tolist()
 
 
 def test_exact_line_walk_forward(spark):
     # y = 2x on 1..5, the first three rows for training.
     x, y = np.arange(1.0, 6.0)[:, None], 2 * np.arange(1.0, 6.0)
-    moments = MomentSolver(1, 1).vector(x[:3], y[:3]).sum(axis=0)
+    z = GramSolver(1, 1).rows(x[:3], y[:3])
     data = spark.createDataFrame(
-        [(moments.tolist(), x[3:].tolist(), y[3:].tolist())],
-        "m array<double>, x array<array<double>>, y array<double>",
+        [((z.T @ z).ravel().tolist(), x[3:].tolist(), y[3:].tolist())],
+        "g array<double>, x array<array<double>>, y array<double>",
     )
-    got = data.select(expanding_predictions(1, 1, (1,))("m", "x", "y").alias("p")).first()["p"]
+    got = data.select(expanding_predictions(1, 1, (1,))("g", "x", "y").alias("p")).first()["p"]
     assert got == pytest.approx([8.0, 10.0])
 
 
+def test_sums_survive_being_sent_in_parts(spark):
+    prices = spark.createDataFrame(random_prices([60, 60, 60]), SCHEMA)
+    frame = models.test_frame(prices, 10)
+    whole = {r["symbol"]: r for r in models.fold_history(frame, 2).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        parts = {r["symbol"]: r for r in models.fold_history(frame, 2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(whole) == 3
+    for k, r in whole.items():
+        assert r["gram"] == pytest.approx(parts[k]["gram"]) and r["rows"] == parts[k]["rows"]
+
+
 def matrix_rows(spark, prices):
     rows = model_matrix(rolling_features(prices)).orderBy("symbol", "date", "event_id").collect()
     return rows
