@@ -180,7 +180,7 @@ def expanding_predictions(variables: int, max_degree: int, degrees: Sequence[int
 
 
 def fold_errors(variables: int, degree: int, degrees: Sequence[int]) -> Callable:
-    """Group function over all folds: mean of the held-out MSEs per degree."""
+    """Group function over all folds: mean held-out MSE and R2 per degree."""
     degrees = tuple(degrees)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -190,10 +190,13 @@ def fold_errors(variables: int, degree: int, degrees: Sequence[int]) -> Callable
         unit = float(part["unit"].iloc[0])
         rows = []
         for d in degrees:
-            errors = [
-                solver.error(held, solver.solve(total - held, d), d) / held[0, 0] for held in grams
-            ]
-            rows.append((d, len(grams), float(np.mean(errors)) * unit * unit))
-        return pd.DataFrame(rows, columns=["degree", "folds", "mse"])
+            errors, scores = [], []
+            for held in grams:
+                sse = solver.error(held, solver.solve(total - held, d), d)
+                spread = held[-1, -1] - held[0, -1] ** 2 / held[0, 0]
+                errors.append(sse / held[0, 0])
+                scores.append(1.0 - sse / spread if spread > 0 else np.nan)
+            rows.append((d, len(grams), float(np.mean(errors)) * unit * unit, float(np.mean(scores))))
+        return pd.DataFrame(rows, columns=["degree", "folds", "mse", "r2"])
 
     return run

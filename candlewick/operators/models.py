@@ -285,13 +285,14 @@ def kfold_polynomial(
     unit = matrix.agg(F.stddev_samp(y)).scalar()
     scored = per_fold.select("gram", unit.alias("unit")).groupBy()
     return scored.applyInPandas(
-        fold_errors(len(features), top, degrees), "degree int, folds int, mse double"
+        fold_errors(len(features), top, degrees), "degree int, folds int, mse double, r2 double"
     ).select(
         strategy_column("degree").alias("strategy"),
         "degree",
         "folds",
         "mse",
         F.sqrt("mse").alias("rmse"),
+        "r2",
     )
 
 
@@ -383,10 +384,16 @@ def kfold_pipeline(
         )
         tested = part if tested is None else tested.unionByName(part)
     gap = F.col("close") - F.col("prediction")
-    per_fold = tested.groupBy("fold").agg(F.avg(gap * gap).alias("mse"))
-    out = per_fold.agg(F.count(F.lit(1)).cast("int").alias("folds"), F.avg("mse").alias("mse"))
+    per_fold = tested.groupBy("fold").agg(
+        F.avg(gap * gap).alias("mse"), F.var_pop("close").alias("spread")
+    )
+    out = per_fold.agg(
+        F.count(F.lit(1)).cast("int").alias("folds"),
+        F.avg("mse").alias("mse"),
+        F.avg(1 - F.try_divide("mse", "spread")).alias("r2"),
+    )
     return out.select(
-        F.lit(name).alias("strategy"), "folds", "mse", F.sqrt("mse").alias("rmse")
+        F.lit(name).alias("strategy"), "folds", "mse", F.sqrt("mse").alias("rmse"), "r2"
     )
 
 

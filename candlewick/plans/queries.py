@@ -301,7 +301,7 @@ def kfold_rmse(spark, sf):
 @query
 def kfold_linear(spark, sf):
     scored = models.kfold_polynomial(_matrix(spark, sf), (1, 2), models.fold_of("event_id"))
-    return rounded(scored.drop("degree"), 4)
+    return rounded(scored.drop("degree", "r2"), 4)
 
 
 @query

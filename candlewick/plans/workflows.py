@@ -69,7 +69,7 @@ def describe(
     }
 
 
-METRICS = ("mse", "rmse")
+METRICS = ("mse", "rmse", "r2")
 
 
 def compare_models(
@@ -92,7 +92,8 @@ def compare_models(
         parts += [
             models.kfold_pipeline(matrix, t, models.tree_pipeline(t), fold, folds) for t in trees
         ]
-    return _union(parts).orderBy(metric, "strategy")
+    best = F.col(metric).desc_nulls_last() if metric == "r2" else F.col(metric)
+    return _union(parts).orderBy(best, "strategy")
 
 
 def predictions(
