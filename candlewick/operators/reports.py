@@ -2,7 +2,8 @@
 
 A text report is a table (section, item, part, line) whose first three columns
 sort it into reading order, so the pair blocks need no numbering window.
-All reports take the small table of ``inference.combo_statistics``.
+All reports take the small table of ``inference.combo_statistics``; test results
+that several parts of a report print are stored once.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from candlewick.config import EXPECTED_RETURN, SIGNIFICANCE
 from candlewick.functions.rounding import fixed
 from candlewick.operators import inference
+from candlewick.storage import settle
 
 # Texts and rules of the printed reports.
 DOUBLE, SINGLE, DASHES, HALF_DASHES = "=" * 80, "-" * 40, "-" * 60, "-" * 50
@@ -136,7 +138,7 @@ def _footer(one: DataFrame, section: int, gap: bool = False) -> DataFrame:
 def anova_individual_report(
     stats: DataFrame, significance: float = SIGNIFICANCE
 ) -> DataFrame:
-    anova = inference.anova_individual(stats, significance)
+    anova = settle(inference.anova_individual(stats, significance))
     flag = F.col("is_significant")
     groups = stats.where(F.col("n") > 1)
     numbered = groups.select(
@@ -203,7 +205,7 @@ def _group_lines(stats: DataFrame, criterion: str, section: int) -> DataFrame:
 def anova_grouped_report(
     stats: DataFrame, criterion: str = "volatility", significance: float = SIGNIFICANCE
 ) -> DataFrame:
-    anova = inference.anova_grouped(stats, criterion, significance)
+    anova = settle(inference.anova_grouped(stats, criterion, significance))
     flag = F.col("is_significant")
     pairs = _gated(inference.posthoc_grouped(stats, criterion, significance), anova)
     head = [
@@ -262,10 +264,10 @@ def posthoc_summary(
 def posthoc_grouped_report(
     stats: DataFrame, criterion: str = "volatility", significance: float = SIGNIFICANCE
 ) -> DataFrame:
-    anova = inference.anova_grouped(stats, criterion, significance)
+    anova = settle(inference.anova_grouped(stats, criterion, significance))
     flag = F.col("is_significant")
     yes, no = anova.where(flag), anova.where(~flag)
-    pairs = _gated(inference.posthoc_grouped(stats, criterion, significance), anova)
+    pairs = settle(_gated(inference.posthoc_grouped(stats, criterion, significance), anova))
     hit = F.col("significant")
     # Two groups give one pair, so its number is 1.
     number = F.row_number().over(W.orderBy("ord1", "ord2"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 import sys
 from collections.abc import Iterator, Mapping
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -33,7 +35,9 @@ def _header_of(path: str) -> str:
     """Second line of a file, read from its first bytes."""
     from pyarrow import fs
 
-    system, local = fs.FileSystem.from_uri(path)
+    # Hadoop paths are not URL-encoded, and name the same store s3a or s3n.
+    uri = re.sub(r"^s3[an]:", "s3:", quote(path, safe=":/"))
+    system, local = fs.FileSystem.from_uri(uri)
     wanted = _HEAD_BYTES
     while True:
         with system.open_input_stream(local) as stream:

@@ -11,9 +11,9 @@ def settle(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the cluster's shared folder, so that what follows
     reads the stored rows instead of the facts and survives lost executors."""
     spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            # No folder configured: a local run, as in tests.
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="candlewick-checkpoint-"))
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        # Without a configured folder this is a local run, as in tests.
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="candlewick-checkpoint-"))
     return df.checkpoint()

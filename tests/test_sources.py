@@ -17,7 +17,7 @@ def two_files(tmp_path):
     raw = tmp_path / "raw"
     raw.mkdir()
     write(raw, "file1.csv", "Introdução\ncol1,col2\n1,2\n3,4")
-    write(raw, "file2.csv", "Introdução\ncol1,col2\n5,6\n7,8")
+    write(raw, "file 2é.csv", "Introdução\ncol1,col2\n5,6\n7,8")
     (raw / "notes.txt").write_text("Introdução\ncol1,col2\n9,9")
     (raw / "deeper").mkdir()
     write(raw / "deeper", "file3.csv", "x\ncol1,col2\n9,9")
