@@ -388,18 +388,33 @@ def _terms(degree: int) -> tuple[list[str], str]:
     return names, ", ".join(exprs)
 
 
-def _in_sample(degree: int) -> list[str]:
+def _fitted(degree: int, name: str) -> list[str]:
     names, exprs = _terms(degree)
     return [
-        *features(PRICES),
-        SCALED,
-        f"design AS (SELECT symbol, id, close, true AS train, 1 AS g, close AS y, {exprs} FROM scaled)",
-        *gram_schmidt("design", "fitted", "g", names),
+        f"{name}_rows AS (SELECT symbol, id, close, true AS train, 1 AS g, close AS y, {exprs} FROM scaled)",
+        *gram_schmidt(f"{name}_rows", name, "g", names),
     ]
 
 
+def _polynomial_quality() -> str:
+    steps, selects = [*features(PRICES), SCALED], []
+    for d in (2, 3):
+        steps += _fitted(d, f"poly{d}")
+        p = "(target - e)"
+        selects.append(
+            f"""SELECT 'PolynomialRegression_degree_{d}' AS strategy, count(*) AS n,
+              {r('avg(e * e)', 3, 'mse')}, {r('sqrt(avg(e * e))', 3, 'rmse')},
+              {r('1 - avg(e * e) / var_pop(target)', 3, 'r2')}, {r(f'corr(target, {p})', 3, 'correlation')}
+              FROM poly{d}"""
+        )
+    return with_(steps, " UNION ALL ".join(selects))
+
+
+ORACLES["poly_regression"] = _polynomial_quality()
+
+
 ORACLES["ols_in_sample"] = with_(
-    _in_sample(1),
+    [*features(PRICES), SCALED, *_fitted(1, "fitted")],
     f"""SELECT symbol, id AS event_id, {r('close', 4, 'close')}, 'LinearRegression' AS strategy,
       {r('target - e', 4, 'prediction')} FROM fitted""",
 )

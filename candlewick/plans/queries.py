@@ -314,7 +314,7 @@ def ols_in_sample(spark, sf):
 @query
 def poly_regression(spark, sf):
     matrix = _matrix(spark, sf).persist()
-    return rounded(models.in_sample_quality(matrix, models.pipelines((2, 3))), 6)
+    return rounded(models.in_sample_quality(matrix, models.pipelines((2, 3))), 3)
 
 
 @query
