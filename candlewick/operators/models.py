@@ -250,7 +250,6 @@ def kfold_polynomial(
     matrix: DataFrame,
     degrees: Sequence[int],
     fold: Column,
-    folds: int = FOLDS,
     features: Sequence[str] = MODEL_FEATURES,
     y: str = "close",
 ) -> DataFrame:

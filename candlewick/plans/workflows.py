@@ -85,7 +85,7 @@ def compare_models(
         raise ValueError(f"metric must be one of {METRICS}")
     matrix = model_matrix(rolling_features(prices, spec), spec)
     fold = models.hashed_fold(*spec.keys, *spec.order, folds=folds)
-    parts = [models.kfold_polynomial(matrix, degrees, fold, folds).drop("degree")]
+    parts = [models.kfold_polynomial(matrix, degrees, fold).drop("degree")]
     if trees:
         # Tree fits read the rows many times.
         matrix = matrix.persist()
