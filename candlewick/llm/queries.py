@@ -6,19 +6,42 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from candlewick.llm.decontamination import contamination
 from candlewick.llm.near_dedup import NearSpec, near_duplicates
+from candlewick.llm.packing import pack
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def public_vocabulary() -> str:
+    """The tokenizer file's path, looked up where the task runs."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Sequences of 2,048 tokens, id 0 after each document."""
+    return pack(documents(spark, folder), public_vocabulary)
+
+
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents against all benchmark items."""
+    return contamination(
+        documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet")
+    )
+
+
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Three-word shingles, linked at 85 percent."""
     return near_duplicates(documents(spark, folder), NearSpec(width=3, percent=85))
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 

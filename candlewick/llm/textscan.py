@@ -80,8 +80,8 @@ class Block:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
 
 
-def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
-    """Blocks of a string or binary column; null counts as empty."""
+def blocks(column: pa.Array, limit: int = BLOCK, rows: int = 1 << 20) -> Iterator[Block]:
+    """Blocks of a string or binary column, of at most ``rows`` rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
@@ -103,7 +103,7 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
     at = 0
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-        to = min(n, max(at + 1, to))
+        to = min(n, max(at + 1, to), at + rows)
         low, high = offsets[at], offsets[to]
         yield Block(at, data[low:high], offsets[at:to] - low, offsets[at + 1 : to + 1] - low)
         at = to
