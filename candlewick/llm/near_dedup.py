@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm.components import components
-from candlewick.llm.textscan import U, blocks, mix, seeds, shingles, words
+from candlewick.llm.textscan import U, blocks, mix, seeds, shingles, sorted_groups, words
 from candlewick.storage import settle
 
 BINS = 128
+BLOCK_NODES = 512
 _SHIFT = U(57)  # the top seven bits of a hash choose one of 128 bins
 _REST = U((1 << 57) - 1)
 _EDGES = np.arange(BINS, dtype=U) << _SHIFT
@@ -97,7 +98,10 @@ def _sketcher(spec: NearSpec):
                 rows.append(sketch(s) if len(s) else nothing)
             if not sizes:
                 continue
-            keys = bands(np.stack(rows), spec.rows)[np.array(full)]
+            sketches = np.stack(rows)
+            keys = bands(sketches, spec.rows)[np.array(full)]
+            packed = [k.tobytes() for k in bands(sketches, spec.rows)]
+            marks = [m.tobytes() for m in mix(sketches).astype(np.uint8)]
             per = np.where(full, keys.shape[1], 0)
             offsets = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -106,8 +110,10 @@ def _sketcher(spec: NearSpec):
                     pa.array(sizes, pa.int64()),
                     pa.array(classes, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
+                    pa.array(marks, pa.binary()),
+                    pa.array(packed, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "class", "bands"],
+                names=["doc_id", "n_shingles", "class", "bands", "marks", "keys"],
             )
 
     return run
@@ -127,15 +133,8 @@ def _set_maker(width: int):
 def _verifier(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            left, right = batch.column("left"), batch.column("right")
-            for i in range(batch.num_rows):
-                a = np.frombuffer(left[i].as_buffer(), U)
-                b = np.frombuffer(right[i].as_buffer(), U)
-                both = np.concatenate([a, b])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(a) + len(b) - common))
+            sizes = map(_common, batch.column("left"), batch.column("right"))
+            keep = [100 * common >= percent * union for common, union in sizes]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -151,6 +150,131 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _hub_pairs(rows: DataFrame, second: bool) -> DataFrame:
+    """In each bucket the hub with every node of another component, once each.
+
+    The hub is the node with the most bucket partners in all its bands: among
+    varied copies of one text, that text.  The second time it is the best node
+    outside the first hub's component.
+    """
+    rank = F.max(F.struct("score", (-F.col("node")).alias("minus"), "root"))
+    hubs = rows.groupBy("band").agg(rank.alias("hub"))
+    if second:
+        others = rows.join(hubs, "band").where(F.col("root") != F.col("hub.root"))
+        hubs = others.groupBy("band").agg(rank.alias("hub"))
+    hub = -F.col("hub.minus")
+    return (
+        rows.join(hubs, "band")
+        .where(F.col("root") != F.col("hub.root"))
+        .select(F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b"))
+        .distinct()
+    )
+
+
+def _split_buckets(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of the buckets that span several components, with their component."""
+    labelled = rows.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    spread = labelled.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"))
+    return labelled.join(spread.where("r < s").select("band"), "band")
+
+
+def _common(one: pa.Scalar, two: pa.Scalar) -> tuple[int, int]:
+    """Sizes of the intersection and the union of two packed sets."""
+    a, b = np.frombuffer(one.as_buffer(), U), np.frombuffer(two.as_buffer(), U)
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common, len(both) - common
+
+
+def _compare(percent: int, exact: bool):
+    """The likely pairs of each block of a bucket: of different components and
+    fitting sizes, with this band as their first common one and sketches that
+    agree within 4.75 deviations of ``percent``.  Gives the nodes of such pairs,
+    or with ``exact`` the pairs whose full sets are similar enough."""
+    p = percent / 100
+    least = BINS * (p - 4.75 * np.sqrt(p * (1 - p) / BINS))
+
+    def matrix(part: pa.Table, name: str, kind) -> np.ndarray:
+        packed = b"".join(part.column(name).to_pylist())
+        return np.frombuffer(packed, kind).reshape(part.num_rows, -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in sorted_groups(batches, ["band", "low", "high"]):
+            part = part.combine_chunks()
+            node, n, root, side = (part.column(c).to_numpy() for c in ("node", "n", "root", "side"))
+            marks = matrix(part, "marks", np.uint8)
+            keys = matrix(part, "keys", np.int64)
+            position = int(np.flatnonzero(keys[0] == part.column("band")[0].as_py())[0])
+            # A bucket's block with itself, or one block with another.
+            crossed = part.column("low")[0].as_py() != part.column("high")[0].as_py()
+            used = np.zeros(len(node), bool)
+            links = []
+            for i in np.flatnonzero(side == 0) if crossed else range(len(node) - 1):
+                j = np.flatnonzero(side == 1) if crossed else np.arange(i + 1, len(node))
+                j = j[
+                    (root[j] != root[i])
+                    & (100 * n[j] >= percent * n[i])
+                    & (100 * n[i] >= percent * n[j])
+                ]
+                j = j[(marks[j] == marks[i]).sum(axis=1) >= least]
+                j = j[~(keys[j, :position] == keys[i, :position]).any(axis=1)]
+                if exact:
+                    mine = part.column("elements")[i]
+                    for k in j:
+                        common, union = _common(mine, part.column("elements")[int(k)])
+                        if 100 * common >= percent * union:
+                            links.append((node[i], node[k]))
+                elif len(j):
+                    used[i] = used[j] = True
+            if exact:
+                made = np.array(links, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(made[:, 0]), pa.array(made[:, 1])], names=["a", "b"]
+                )
+            elif used.any():
+                kept = part.filter(pa.array(used)).select(_MET)
+                yield from kept.combine_chunks().to_batches()
+
+    return run
+
+
+_MET = ["band", "low", "high", "node", "n", "root", "side"]
+
+
+def _across(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Linked pairs of bucket partners in different components.
+
+    Buckets are cut into blocks of about 512 nodes; every two blocks of a bucket
+    meet in one place, so no task holds more than two, and only linked pairs are
+    written.  A first pass on sketches leaves the nodes whose sets are needed.
+    """
+    cut = rows.groupBy("band").agg((F.count("*") / BLOCK_NODES).cast("int").alias("last"))
+    own = F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int")
+    met = (
+        rows.join(cut, "band")
+        .select("band", "node", "n", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+        .withColumn("low", F.least("own", "other"))
+        .withColumn("high", F.greatest("own", "other"))
+        .withColumn("side", F.when(F.col("own") > F.col("other"), 1).otherwise(0))
+        .select(*_MET)
+    )
+    order = ["band", "low", "high"]
+
+    def dealt(frame: DataFrame) -> DataFrame:
+        return frame.repartition(*order).sortWithinPartitions(*order, "node")
+
+    sketches = nodes.select("node", "marks", "keys")
+    likely = settle(
+        dealt(met.join(sketches, "node")).mapInArrow(
+            _compare(percent, False),
+            "band long, low int, high int, node long, n long, root long, side int",
+        )
+    )
+    full = likely.join(sketches, "node").join(sets, "node")
+    return dealt(full).mapInArrow(_compare(percent, True), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     """Row per document: doc_id, n_shingles, component_id, kept.
 
@@ -159,12 +283,12 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     linked; component_id is the smallest doc_id reachable and kept marks it.
 
     * Equal sets are one node, whatever their number.
-    * In each bucket of equal bands every node is checked against the smallest
-      one.  Where a bucket then still spans several components, the pairs across
-      them are checked too, so no link between bucket partners is lost; pairs
+    * In each bucket of equal bands every node is checked against the bucket's
+      hub, twice.  Where a bucket then still spans several components, nodes of
+      different ones whose sketches agree well enough are checked too.  Pairs
       within a component are never built.
     * A link at the threshold misses all 32 bands of four with probability below
-      1e-10 at 85 and 5e-8 at 80 percent.
+      1e-10 at 85 and 5e-8 at 80 percent, the sketches' test with about 1e-6.
 
     Null, empty or blank text: n_shingles 0, linked with nothing.  Null doc_id:
     component_id null, kept.  Repeated rows come back once each; other columns
@@ -173,16 +297,15 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = settle(
         docs.mapInArrow(
-            _sketcher(spec), "doc_id long, n_shingles long, class binary, bands array<long>"
+            _sketcher(spec), "doc_id long, n_shingles long, class binary, bands array<long>, marks binary, keys binary"
         )
     )
     known = rows.where("doc_id is not null and n_shingles > 0")
     nodes = known.groupBy("class").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.first("keys").alias("keys")
     )
     placed = nodes.select("node", "n", F.explode("bands").alias("band"))
-    shared = placed.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    shared = shared.where("low < high").select("band", "low")
+    shared = placed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     placed = settle(placed.join(shared, "band"))
     partners = placed.select("node").distinct()
     sets = settle(
@@ -191,33 +314,17 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
         .dropDuplicates(["node"])
         .mapInArrow(_set_maker(spec.width), "node long, elements binary")
     )
-    sizes = F.col("n") * 100 >= spec.percent * F.col("m")
-    stars = placed.where("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
-    links = settle(_verified(stars.distinct(), sets, spec.percent))
-    found = settle(components(links))
-
-    # Buckets that still span several components: pairs across them.
-    labelled = placed.join(found, "node", "left").select(
-        "band", "node", "n", F.coalesce("root", "node").alias("root")
-    )
-    apart = labelled.groupBy("band").agg(F.min("root").alias("r"), F.max("root").alias("s"))
-    labelled = settle(labelled.join(apart.where("r < s").select("band"), "band"))
-    left = labelled.select("band", F.col("node").alias("a"), F.col("n").alias("n"), F.col("root").alias("ra"))
-    right = labelled.select("band", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("rb"))
-    across = (
-        left.join(right, "band")
-        .where((F.col("ra") != F.col("rb")) & sizes & ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("a") < F.col("b")))))
-        .select("a", "b")
-        .distinct()
-    )
-    # The stars' pairs are checked already.
-    across = across.join(
-        stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
-        ["a", "b"],
-        "left_anti",
-    )
-    more = _verified(across, sets, spec.percent)
-    roots = components(links.unionByName(more))
+    scores = placed.groupBy("node").agg(F.sum("members").alias("score"))
+    rows_of = settle(placed.join(scores, "node").select("band", "node", "n", "score"))
+
+    pairs = _hub_pairs(rows_of.withColumn("root", F.col("node")), second=False)
+    links = settle(_verified(pairs, sets, spec.percent))
+    left_over = _split_buckets(rows_of, components(links))
+    more = settle(_verified(_hub_pairs(left_over, second=True), sets, spec.percent))
+    links = links.unionByName(more)
+    left_over = settle(_split_buckets(rows_of, components(links)))
+    last = _across(left_over, nodes, sets, spec.percent)
+    roots = components(links.unionByName(last))
 
     of_class = nodes.select("class", "node").join(roots, "node", "left")
     of_class = of_class.select("class", F.coalesce("root", "node").alias("component_id"))

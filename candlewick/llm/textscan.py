@@ -206,3 +206,28 @@ def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     ends = np.cumsum(counts)
     total = int(ends[-1]) if len(ends) else 0
     return np.repeat(starts - (ends - counts), counts) + np.arange(total)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups of batches that are sorted by ``keys``, one at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        head = tuple(c[0] for c in columns)
+        new[0] = last is None or head != last
+        last = tuple(c[-1] for c in columns)
+        at = np.append(np.flatnonzero(new), batch.num_rows)
+        if at[0] > 0:
+            held.append(batch.slice(0, at[0]))
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            if held:
+                yield pa.Table.from_batches(held)
+            held = [batch.slice(a, b - a)]
+    if held:
+        yield pa.Table.from_batches(held)
