@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,43 +18,104 @@ from candlewick.storage import settle
 
 #: Pieces that one task places at a time.
 GROUP = 4096
+_TEXTS = 256  # tokenized at a time
 
 #: Texts that the word cache serves: white space, printable ASCII and precomposed Latin
 #: letters, for which normalising is lower-casing.  All others go to the tokenizer whole.
-_UNUSUAL = re.compile("[^\t-\r -~\xa1-įı-ɏ]|<\\|")
-_CACHED_WORDS = 600_000
+_UNUSUAL = re.compile("[^\t-\r -~\xa1-\u012f\u0131-\u024f]|<\\|")
+_CACHED_WORDS = 1_500_000
+#: Ends a piece of a word; such texts are unusual, so it stands nowhere else.
+_END = "\0"
 
 
 class WordEncoder:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins words, so a text's ids are
-    its words' ids in a row and each distinct word is tokenized once.
+    its words' ids in a row and each distinct word is tokenized once.  New words
+    are merged many at a time by the same merge list, with the end-of-word sign
+    as bytes of its own; the tests hold this against the tokenizer itself.
     """
 
     def __init__(self, path: str):
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            described = json.load(file)
+        self.pieces = regex.compile(
+            described["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        ).findall
+        byte_of = {c: b for b, c in enumerate(_byte_letters())}
+        sign = _END.encode()
+
+        def raw(token: str) -> bytes:
+            ends = token.endswith("</w>")
+            return bytes(byte_of[c] for c in token.removesuffix("</w>")) + (sign if ends else b"")
+
+        # Ranks: bytes, then each last byte with the end sign, then the merges.
+        ranks = {bytes([b]): b for b in range(256)}
+        ranks |= {bytes([b]) + sign: 256 + b for b in range(256)}
+        for i, merge in enumerate(described["model"]["merges"]):
+            left, right = merge if isinstance(merge, list) else merge.split(" ")
+            ranks[raw(left + right)] = 512 + i
+        top = 512 + len(described["model"]["merges"])
+        self.ids = np.zeros(top, "<u4")
+        self.last = np.zeros(top, bool)
+        for token, number in described["model"]["vocab"].items():
+            if not token.startswith("<|"):
+                rank = ranks[raw(token)]
+                self.ids[rank] = number
+                self.last[rank] = token.endswith("</w>")
+        self.merges = tiktoken.Encoding(
+            "words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={}
+        )
 
-    def _tokenize(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def encode(self, text: str) -> bytes:
-        if _UNUSUAL.search(text):
-            return self._tokenize([text])[0]
-        listed = text.lower().split()
-        parts = list(map(self.known.get, listed))
-        if None in parts:
-            new = list({w for w, p in zip(listed, parts, strict=True) if p is None})
-            made = dict(zip(new, self._tokenize(new), strict=True))
-            if len(self.known) + len(made) > _CACHED_WORDS:
-                self.known.clear()
-            self.known.update(made)
-            parts = [p if p is not None else made[w] for w, p in zip(listed, parts, strict=True)]
-        return b"".join(parts)
+    def _merge(self, new: list[str]) -> list[bytes]:
+        """Ids of each word."""
+        parts = [self.pieces(w) for w in new]
+        joined = _END.join([_END.join(p) for p in parts if p]) + _END
+        if len(joined) == 1:
+            return [b""] * len(new)
+        got = self.merges.encode_to_numpy(joined)
+        ends = np.flatnonzero(self.last[got]) + 1  # of pieces
+        count = np.cumsum([len(p) for p in parts])
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], count])] * 4
+        data = self.ids[got].tobytes()
+        return [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > _CACHED_WORDS:
+            self.known.clear()
+        known = self.known
+        listed = [None if _UNUSUAL.search(t) else t.lower().split() for t in texts]
+        parts = [None if words is None else list(map(known.get, words)) for words in listed]
+        open_rows = [i for i, p in enumerate(parts) if p is not None and None in p]
+        missing: set[str] = set()
+        for i in open_rows:
+            missing.update(w for w, p in zip(listed[i], parts[i], strict=True) if p is None)
+        new = list(missing)
+        known.update(zip(new, self._merge(new), strict=True))
+        for i in open_rows:
+            parts[i] = list(map(known.__getitem__, listed[i]))
+        out = []
+        for text, found in zip(texts, parts, strict=True):
+            if found is None:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                out.append(np.array(ids, dtype="<u4").tobytes())
+            else:
+                out.append(b"".join(found))
+        return out
+
+
+def _byte_letters() -> list[str]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -77,18 +140,20 @@ def _cutter(path: Callable[[], str], capacity: int, end: int, keep_ids: bool):
         last = np.array([end], dtype="<u4").tobytes()
         width = 4 * capacity
         for batch in batches:
-            texts = batch.column("text")
+            texts = pc.fill_null(batch.column("text"), "")
             docs, numbers, lengths, sums, kept = [], [], [], [], []
-            for i in range(batch.num_rows):
-                ids = encode(texts[i].as_py() or "") + last
-                for k in range(0, len(ids), width):
-                    part = ids[k : k + width]
-                    docs.append(i)
-                    numbers.append(k // width)
-                    lengths.append(len(part) // 4)
-                    sums.append(zlib.crc32(part))
-                    if keep_ids:
-                        kept.append(np.frombuffer(part, "<i4"))
+            for first in range(0, batch.num_rows, _TEXTS):
+                some = encode(texts.slice(first, _TEXTS).to_pylist())
+                for i, ids in enumerate(some, first):
+                    ids += last
+                    for k in range(0, len(ids), width):
+                        part = ids[k : k + width]
+                        docs.append(i)
+                        numbers.append(k // width)
+                        lengths.append(len(part) // 4)
+                        sums.append(zlib.crc32(part))
+                        if keep_ids:
+                            kept.append(np.frombuffer(part, "<i4"))
             number = np.array(numbers, np.int32)
             columns = {
                 "doc_id": batch.column("doc_id").take(pa.array(docs, pa.int64())),
