@@ -7,31 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from candlewick.llm.decontamination import contamination
 from candlewick.llm.language import held_out, identify, train
 from candlewick.llm.near_dedup import NearSpec, near_duplicates
-from candlewick.llm.packing import pack
+from candlewick.llm.packing import pack, public_vocabulary
+from candlewick.llm.passages import shared_passages
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def public_vocabulary() -> str:
-    """The tokenizer file's path, looked up where the task runs."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
-    """Learn from documents that are not held out, predict all."""
-    docs = documents(spark, folder)
-    model = train(docs.where(~held_out("doc_id") | docs["doc_id"].isNull()))
-    out = identify(docs.select("doc_id", "text"), model).drop("text")
-    return out.withColumn("held_out", F.coalesce(held_out("doc_id"), F.lit(False)))
-
-
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences of 2,048 tokens, id 0 after each document."""
     return pack(documents(spark, folder), public_vocabulary)
@@ -50,10 +37,12 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 LLM_ORACLES: dict[str, str] = {}
