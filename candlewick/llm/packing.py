@@ -138,14 +138,6 @@ def public_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
-    """Learn from documents that are not held out, predict all."""
-    docs = documents(spark, folder)
-    model = train(docs.where(~held_out("doc_id") | docs["doc_id"].isNull()))
-    out = identify(docs.select("doc_id", "text"), model).drop("text")
-    return out.withColumn("held_out", F.coalesce(held_out("doc_id"), F.lit(False)))
-
-
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

@@ -19,6 +19,19 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words or more, at 80 percent of five-word shingles."""
+    return shared_passages(documents(spark, folder))
+
+
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Learn from documents that are not held out, predict all."""
+    docs = documents(spark, folder)
+    model = train(docs.where(~held_out("doc_id") | docs["doc_id"].isNull()))
+    out = identify(docs.select("doc_id", "text"), model).drop("text")
+    return out.withColumn("held_out", F.coalesce(held_out("doc_id"), F.lit(False)))
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Sequences of 2,048 tokens, id 0 after each document."""
     return pack(documents(spark, folder), public_vocabulary)
