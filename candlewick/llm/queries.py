@@ -13,6 +13,7 @@ from candlewick.llm.language import held_out, identify, train
 from candlewick.llm.near_dedup import NearSpec, near_duplicates
 from candlewick.llm.packing import pack, public_vocabulary
 from candlewick.llm.passages import shared_passages
+from candlewick.llm.repeats import without_repeated_bytes
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,6 +38,11 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(documents(spark, folder), public_vocabulary)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated strings of 400 bytes, removed from all documents."""
+    return without_repeated_bytes(documents(spark, folder), keep=False).drop("kept")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """All documents against all benchmark items."""
     return contamination(
@@ -53,6 +59,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "pipeline": corpus_pipeline.run,

@@ -145,13 +145,20 @@ def span_hashes(
     data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool
 ) -> np.ndarray:
     """Hash of each span of ``data``."""
-    if not len(starts):
-        return np.zeros(0, U)
-    bits = max(20, int(len(data)).bit_length())
-    power, inverse = _powers(bits)
+    return sums_hash(hash_sums(data, fold), starts, ends)
+
+
+def hash_sums(data: np.ndarray, fold: bool = False) -> np.ndarray:
+    """Prefix sums from which ``sums_hash`` takes the hash of any span."""
+    _, inverse = _powers(max(20, int(len(data)).bit_length()))
     sums = np.empty(len(data) + 1, U)
     sums[0] = 0
     np.cumsum(_tables(fold)[data] * inverse[: len(data)], dtype=U, out=sums[1:])
+    return sums
+
+
+def sums_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    power, _ = _powers(max(20, int(len(sums) - 1).bit_length()))
     h = (sums[ends] - sums[starts]) * power[starts]
     return mix(h ^ ((ends - starts).astype(U) * _ODD))
 
