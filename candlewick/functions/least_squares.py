@@ -1,9 +1,11 @@
-"""Least squares from summed products.
-
-The products of all terms with each other and with the target add up across
-rows, tasks and time.  One pass that sums them replaces any number of refits:
-the small matrix of a group gives the fit of every polynomial up to its degree,
-and the error of any other fit on that group.
+"""Least squares from triangular factors.
+
+The rows [terms | target] of a group reduce to one small triangular matrix R with
+the same products (R'R), found by orthogonal steps only, so no digits are lost by
+squaring.  Factors of parts merge by stacking and reducing again: across tasks,
+across folds and over time.  One pass that reduces the rows replaces any number
+of refits: a factor gives the fit of every polynomial up to its degree, and the
+error of any other fit on its group as the length of a vector.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -46,13 +49,72 @@ def expand(x: np.ndarray, terms: list[Powers]) -> np.ndarray:
     return out
 
 
-def solve_normal(gram: np.ndarray, cross: np.ndarray) -> np.ndarray:
-    """Minimum-norm solution after scaling every term to unit length."""
-    size = np.sqrt(np.maximum(np.diag(gram), 0.0))
+def reduced(rows: np.ndarray) -> np.ndarray:
+    """Square triangular factor of ``rows``; diagonal entries are not negative."""
+    width = rows.shape[-1]
+    factor = np.linalg.qr(rows, mode="r")
+    sign = np.where(np.diag(factor) < 0, -1.0, 1.0)
+    out = np.zeros((width, width))
+    out[: len(factor)] = factor * sign[:, None]
+    return out
+
+
+def merged(column) -> Column:
+    """One factor from an array of factors; null if there is none."""
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def merge(lists: pd.Series) -> pd.Series:
+        out = []
+        for factors in lists:
+            if factors is None or not len(factors):
+                out.append(None)
+                continue
+            stack = np.stack([np.asarray(f, dtype=float) for f in factors])
+            width = int(round(stack.shape[1] ** 0.5))
+            out.append(reduced(stack.reshape(-1, width)).ravel())
+        return pd.Series(out)
+
+    return merge(column)
+
+
+#: A diagonal entry below this share of its column's length marks a term that the
+#: others determine; such fits take the solution of least length.
+_DEPENDENT = 1e-11
+
+
+def solve_factor(factors: np.ndarray, terms: int) -> np.ndarray:
+    """Coefficients of the first ``terms`` columns for the last one, for each of
+    many factors; columns are scaled to unit length before the solve."""
+    r, target = factors[:, :terms, :terms], factors[:, :terms, -1]
+    size = np.sqrt((r * r).sum(axis=1))
     size = np.where(size > 0, size, 1.0)
-    scaled = gram / np.outer(size, size)
-    solution = np.linalg.lstsq(scaled, cross / size, rcond=1e-14)[0]
-    return solution / size
+    scaled = r / size[:, None, :]
+    pivot = np.diagonal(scaled, axis1=1, axis2=2)
+    clear = (np.abs(pivot) > _DEPENDENT).all(axis=1)
+    beta = np.zeros(target.shape)
+    some, rest = scaled[clear], target[clear].copy()
+    out = np.zeros(rest.shape)
+    for k in range(terms - 1, -1, -1):
+        out[:, k] = rest[:, k] / some[:, k, k]
+        rest[:, :k] -= some[:, :k, k] * out[:, k, None]
+    beta[clear] = out
+    for i in np.flatnonzero(~clear):
+        beta[i] = np.linalg.lstsq(scaled[i], target[i], rcond=_DEPENDENT)[0]
+    return beta / size
+
+
+def add_rows(factors: np.ndarray, rows: np.ndarray) -> None:
+    """Add one row to each of many factors in place, by plane rotations."""
+    rows = rows.copy()
+    for k in range(rows.shape[1]):
+        a, b = factors[:, k, k], rows[:, k]
+        length = np.hypot(a, b)
+        turn = length > 0
+        c = np.where(turn, a / np.where(turn, length, 1.0), 1.0)[:, None]
+        s = np.where(turn, b / np.where(turn, length, 1.0), 0.0)[:, None]
+        above = factors[:, k, k:].copy()
+        factors[:, k, k:] = c * above + s * rows[:, k:]
+        rows[:, k:] = c * rows[:, k:] - s * above
 
 
 def _groups(batch: pa.RecordBatch, keys: Sequence[str]) -> Iterator[tuple[tuple, np.ndarray]]:
@@ -68,37 +130,37 @@ def _groups(batch: pa.RecordBatch, keys: Sequence[str]) -> Iterator[tuple[tuple,
         yield tuple(batch.column(k)[first].as_py() for k in keys), part
 
 
-# A task sends on what it has summed once its matrices fill this many bytes.
+# A task sends on its factors once they fill this many bytes.
 _MATRIX_BYTES = 64 << 20
 
 
-def sum_products(
+def reduce_rows(
     keys: Sequence[str], inputs: Sequence[str], degree: int, passed: Sequence[str] = ()
 ) -> Callable:
     """Task function for ``mapInArrow``.
 
-    Sums, per key, the products of all terms of ``inputs`` (features, then the
-    target).  Output rows are (keys, passed, gram): one row per key summed, and,
-    if ``passed`` is given, the rows flagged ``is_test`` unsummed with a null
-    gram.  A key may come out several times; the caller adds up.
+    Reduces, per key, the rows of all terms of ``inputs`` (features, then the
+    target).  Output rows are (keys, passed, factor): one row per key reduced, and,
+    if ``passed`` is given, the rows flagged ``is_test`` as they are with a null
+    factor.  A key may come out several times; the caller merges.
     """
     terms = monomials(len(inputs) - 1, degree)
     width = len(terms) + 1
     most = max(16, _MATRIX_BYTES // (8 * width * width))
 
-    def summed(sums: dict[tuple, np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
-        n = len(sums)
+    def sent(held: dict[tuple, np.ndarray], schema: pa.Schema) -> pa.RecordBatch:
+        n = len(held)
         arrays = [
-            pa.array([label[i] for label in sums], schema.field(k).type) for i, k in enumerate(keys)
+            pa.array([label[i] for label in held], schema.field(k).type) for i, k in enumerate(keys)
         ]
         arrays += [pa.nulls(n, schema.field(c).type) for c in passed]
-        flat = np.concatenate([g.ravel() for g in sums.values()])
+        flat = np.concatenate([g.ravel() for g in held.values()])
         offsets = pa.array(np.arange(n + 1) * width * width, pa.int32())
         arrays.append(pa.ListArray.from_arrays(offsets, pa.array(flat)))
-        return pa.RecordBatch.from_arrays(arrays, names=[*keys, *passed, "gram"])
+        return pa.RecordBatch.from_arrays(arrays, names=[*keys, *passed, "factor"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
+        held: dict[tuple, np.ndarray] = {}
         schema = None
         for batch in batches:
             schema = batch.schema
@@ -108,7 +170,7 @@ def sum_products(
                 if tests.num_rows:
                     arrays = [tests.column(c) for c in (*keys, *passed)]
                     arrays.append(pa.nulls(tests.num_rows, pa.list_(pa.float64())))
-                    yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *passed, "gram"])
+                    yield pa.RecordBatch.from_arrays(arrays, names=[*keys, *passed, "factor"])
                 batch = batch.filter(pc.invert(flag))
             if not batch.num_rows:
                 continue
@@ -119,84 +181,137 @@ def sum_products(
             z = np.column_stack([expand(x, terms), y])
             for label, rows in _groups(batch, keys):
                 part = z[rows]
-                sums[label] = sums.get(label, 0.0) + part.T @ part
-            if len(sums) >= most:
-                yield summed(sums, schema)
-                sums = {}
-        if sums:
-            yield summed(sums, schema)
+                if label in held:
+                    part = np.concatenate([held[label], part])
+                held[label] = reduced(part)
+            if len(held) >= most:
+                yield sent(held, schema)
+                held = {}
+        if held:
+            yield sent(held, schema)
 
     return run
 
 
-class GramSolver:
-    """Fits of any degree up to ``degree`` from a matrix of summed products."""
+class FactorSolver:
+    """Fits of any degree up to ``degree`` from a factor."""
 
     def __init__(self, variables: int, degree: int) -> None:
         self.terms = monomials(variables, degree)
         self.width = len(self.terms) + 1
 
-    def used(self, degree: int) -> list[int]:
-        return [i for i, t in enumerate(self.terms) if sum(t) <= degree]
+    def used(self, degree: int) -> int:
+        """Terms of at most this degree; they come first."""
+        return sum(sum(t) <= degree for t in self.terms)
 
     def rows(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.column_stack([expand(x, self.terms), y])
 
-    def solve(self, gram: np.ndarray, degree: int) -> np.ndarray:
-        use = self.used(degree)
-        return solve_normal(gram[np.ix_(use, use)], gram[use, -1])
+    def error(self, factor: np.ndarray, beta: np.ndarray) -> float:
+        """Sum of squared errors of ``beta`` on the rows reduced to ``factor``."""
+        weights = np.zeros(self.width)
+        weights[: len(beta)] = beta
+        weights[-1] = -1.0
+        gap = factor @ weights
+        return float(gap @ gap)
+
+    @staticmethod
+    def count(factor: np.ndarray) -> float:
+        """Rows of a factor; its first column is constant."""
+        return float(factor[0, 0] ** 2)
 
-    def error(self, gram: np.ndarray, beta: np.ndarray, degree: int) -> float:
-        """Sum of squared errors of ``beta`` on the rows summed in ``gram``."""
-        use = self.used(degree)
-        own = gram[np.ix_(use, use)]
-        return float(gram[-1, -1] - 2 * beta @ gram[use, -1] + beta @ own @ beta)
+    @staticmethod
+    def spread(factor: np.ndarray) -> float:
+        """Squared distances of the target from its mean."""
+        rest = factor[1:, -1]
+        return float(rest @ rest)
+
+
+# Series whose factors are moved on together.
+_TOGETHER_BYTES = 32 << 20
 
 
 def expanding_predictions(variables: int, max_degree: int, degrees: Sequence[int]):
-    """UDF: (summed products of the training rows, features and targets of the
-    test rows in order) -> one prediction per degree and test row, degree by
-    degree.  Before each further test row, the row just passed is added.
+    """UDF: (factor of the training rows, features and targets of the test rows in
+    order) -> one prediction per degree and test row, degree by degree.  Before
+    each further test row, the row just passed is added.
+
+    Many series take each step together: a step is one rotation per column and
+    one triangular solve per degree.
     """
     degrees = tuple(degrees)
 
     @F.pandas_udf(ArrayType(DoubleType()))
-    def predict(grams: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
-        solver = GramSolver(variables, max_degree)
-        results = []
-        for g, x, y in zip(grams, xs, ys):
-            x = np.stack([np.asarray(row, dtype=float) for row in x])
-            z = solver.rows(x, np.asarray(y, dtype=float))
-            state = np.array(g, dtype=float).reshape(solver.width, solver.width)
-            out = np.empty((len(degrees), len(z)))
-            for i, row in enumerate(z):
-                for k, d in enumerate(degrees):
-                    out[k, i] = row[solver.used(d)] @ solver.solve(state, d)
-                state = state + np.outer(row, row)
-            results.append(out.ravel())
+    def predict(factors: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+        solver = FactorSolver(variables, max_degree)
+        used = [solver.used(d) for d in degrees]
+        together = max(1, _TOGETHER_BYTES // (8 * solver.width**2))
+        results: list[np.ndarray] = []
+        for at in range(0, len(factors), together):
+            rows = [
+                solver.rows(np.stack([np.asarray(r, dtype=float) for r in x]), np.asarray(y, dtype=float))
+                for x, y in zip(xs[at : at + together], ys[at : at + together])
+            ]
+            sizes = np.array([len(z) for z in rows])
+            state = np.stack([np.asarray(f, dtype=float) for f in factors[at : at + together]])
+            state = state.reshape(-1, solver.width, solver.width)
+            out = [np.empty((len(degrees), n)) for n in sizes]
+            for step in range(sizes.max(initial=0)):
+                going = np.flatnonzero(sizes > step)
+                z = np.stack([rows[i][step] for i in going])
+                now = state[going]
+                for k, m in enumerate(used):
+                    values = (z[:, :m] * solve_factor(now, m)).sum(axis=1)
+                    for i, v in zip(going, values):
+                        out[i][k, step] = v
+                add_rows(now, z)
+                state[going] = now
+            results += [o.ravel() for o in out]
         return pd.Series(results)
 
     return predict
 
 
 def fold_errors(variables: int, degree: int, degrees: Sequence[int]) -> Callable:
-    """Group function over all folds: mean held-out MSE and R2 per degree."""
+    """Group function over all folds: mean held-out MSE and R2 per degree.  A
+    fold's training factor is the merge of the other folds' factors."""
     degrees = tuple(degrees)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        solver = GramSolver(variables, degree)
-        grams = np.stack(part["gram"].to_list()).reshape(-1, solver.width, solver.width)
-        total = grams.sum(axis=0)
+        solver = FactorSolver(variables, degree)
+        factors = np.stack(part.sort_values("fold")["factor"].to_list())
+        factors = factors.reshape(-1, solver.width, solver.width)
         unit = float(part["unit"].iloc[0])
+        folds = range(len(factors))
+        others = np.stack(
+            [reduced(np.concatenate([np.zeros((1, solver.width)), *(factors[j] for j in folds if j != k)])) for k in folds]
+        )
         rows = []
         for d in degrees:
             errors, scores = [], []
-            for held in grams:
-                sse = solver.error(held, solver.solve(total - held, d), d)
-                spread = held[-1, -1] - held[0, -1] ** 2 / held[0, 0]
-                errors.append(sse / held[0, 0])
+            for held, beta in zip(factors, solve_factor(others, solver.used(d))):
+                sse, spread = solver.error(held, beta), solver.spread(held)
+                errors.append(sse / solver.count(held))
                 scores.append(1.0 - sse / spread if spread > 0 else np.nan)
-            rows.append((d, len(grams), float(np.mean(errors)) * unit * unit, float(np.mean(scores))))
+            rows.append((d, len(factors), float(np.mean(errors)) * unit * unit, float(np.mean(scores))))
         return pd.DataFrame(rows, columns=["degree", "folds", "mse", "r2"])
 
     return run
+
+
+def pooled_errors(variables: int, degree: int, degrees: Sequence[int]) -> Callable:
+    """Group function over one factor: n, MSE and spread of the in-sample fits."""
+    degrees = tuple(degrees)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        solver = FactorSolver(variables, degree)
+        factor = np.asarray(part["factor"].iloc[0], dtype=float).reshape(solver.width, solver.width)
+        unit, n = float(part["unit"].iloc[0]), solver.count(factor)
+        rows = []
+        for d in degrees:
+            beta = solve_factor(factor[None], solver.used(d))[0]
+            sse = solver.error(factor, beta)
+            rows.append((d, round(n), sse / n * unit * unit, solver.spread(factor) / n * unit * unit))
+        return pd.DataFrame(rows, columns=["degree", "n", "mse", "variance"])
+
+    return run

@@ -9,17 +9,17 @@ the pipelines gives a real forecast.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     GBTRegressor,
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,8 +29,10 @@ from candlewick.config import FOLDS, MIN_TRAIN_ROWS, MODEL_FEATURES, TEST_DAYS,
 from candlewick.functions.least_squares import (
     expanding_predictions,
     fold_errors,
+    merged,
     monomials,
-    sum_products,
+    pooled_errors,
+    reduce_rows,
 )
 from candlewick.operators.features import (
     complete_rows,
@@ -255,12 +257,58 @@ def kfold_polynomial(
 ) -> DataFrame:
     """Cross-validated mean MSE and its root for several polynomial degrees.
 
-    One pass: each task sums the products of the highest degree's terms per fold
-    (``folds`` small matrices).  The matrices meet in two steps, so no task
+    One pass: each task reduces the rows of the highest degree's terms to one
+    triangular factor per fold.  The factors merge in two steps, so no task
     receives one from every other task.  Fits and errors of all degrees and folds
-    follow from the sums.
+    follow from them.
     """
     top = max(degrees)
+    per_fold, unit = _pooled_factors(matrix, top, features, y, fold)
+    # ``folds`` rows meet here.
+    scored = per_fold.select("fold", "factor", unit.alias("unit")).groupBy()
+    return scored.applyInPandas(
+        fold_errors(len(features), top, degrees), "degree int, folds int, mse double, r2 double"
+    ).select(
+        strategy_column("degree").alias("strategy"),
+        "degree",
+        "folds",
+        "mse",
+        F.sqrt("mse").alias("rmse"),
+        "r2",
+    )
+
+
+def in_sample_polynomial(
+    matrix: DataFrame,
+    degrees: Sequence[int],
+    features: Sequence[str] = MODEL_FEATURES,
+    y: str = "close",
+) -> DataFrame:
+    """In-sample quality of several polynomial degrees from one pass over the rows.
+
+    A least-squares fit with a constant explains the variance by its R2, and its
+    predictions correlate with the target by the root of it.
+    """
+    top = max(degrees)
+    pooled, unit = _pooled_factors(matrix, top, features, y, F.lit(0))
+    fitted = pooled.select("factor", unit.alias("unit")).groupBy().applyInPandas(
+        pooled_errors(len(features), top, degrees), "degree int, n long, mse double, variance double"
+    )
+    r2 = 1 - F.try_divide("mse", "variance")
+    return fitted.select(
+        strategy_column("degree").alias("strategy"),
+        "n",
+        "mse",
+        F.sqrt("mse").alias("rmse"),
+        r2.alias("r2"),
+        F.sqrt(F.greatest(r2, F.lit(0.0))).alias("correlation"),
+    )
+
+
+def _pooled_factors(
+    matrix: DataFrame, degree: int, features: Sequence[str], y: str, fold: Column
+) -> tuple[DataFrame, Column]:
+    """(fold, factor) of the standardised rows, and the target's unit."""
     names = [*features, y]
     aggregates = [F.avg(c).alias(f"m_{c}") for c in names]
     aggregates += [F.stddev_samp(c).alias(f"s_{c}") for c in names]
@@ -276,31 +324,17 @@ def kfold_polynomial(
         F.spark_partition_id().alias("task"),
         *[standard(c).alias(x) for c, x in zip(names, inputs)],
     )
-    schema = "fold int, task int, gram array<double>"
-    partial = rows.mapInArrow(sum_products(("fold", "task"), inputs, top), schema)
-    halfway = partial.groupBy("fold", F.pmod("task", F.lit(64)).alias("task")).agg(_added("gram"))
-    per_fold = halfway.groupBy("fold").agg(_added("gram"))
-    # ``folds`` rows meet here.
-    unit = matrix.agg(F.stddev_samp(y)).scalar()
-    scored = per_fold.select("gram", unit.alias("unit")).groupBy()
-    return scored.applyInPandas(
-        fold_errors(len(features), top, degrees), "degree int, folds int, mse double, r2 double"
-    ).select(
-        strategy_column("degree").alias("strategy"),
-        "degree",
-        "folds",
-        "mse",
-        F.sqrt("mse").alias("rmse"),
-        "r2",
-    )
+    schema = "fold int, task int, factor array<double>"
+    partial = rows.mapInArrow(reduce_rows(("fold", "task"), inputs, degree), schema)
+    return merge_factors(partial, ["fold"]), matrix.agg(F.stddev_samp(y)).scalar()
 
 
-def _added(gram: str) -> Column:
-    """Element-wise sum of an array column; null arrays do not count."""
-    vector = array_to_vector(F.coalesce(F.col(gram), F.array().cast("array<double>")))
-    weight = F.when(F.col(gram).isNull(), 0.0).otherwise(1.0)
-    summed = Summarizer.metrics("sum").summary(vector, weight)
-    return vector_to_array(summed["sum"]).alias(gram)
+def merge_factors(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One factor per key from those of its tasks (column ``task``), in two steps."""
+    listed = F.collect_list("factor").alias("factors")
+    halfway = parts.groupBy(*keys, F.pmod("task", F.lit(64)).alias("task")).agg(listed)
+    halfway = halfway.select(*keys, merged("factors").alias("factor"))
+    return halfway.groupBy(*keys).agg(listed).select(*keys, merged("factors").alias("factor"))
 
 
 def strategy_name(degree: int) -> str:
@@ -430,13 +464,13 @@ def _scaled_target() -> Column:
 
 
 def fold_history(frame: DataFrame, degree: int = 1, spec: SeriesSpec = SeriesSpec()) -> DataFrame:
-    """One row per series: the summed products of its training rows (``gram``)
-    and its test rows.
+    """One row per series: the triangular factor of its training rows and its
+    test rows.
 
-    This is the only pass over the history.  Each task sums its training rows
-    before anything is shuffled; the test rows, at most ``test_days`` per
-    series, come along as a sorted list.  Every walk-forward strategy of up to
-    ``degree`` follows from the result.
+    This is the only pass over the history.  Each task reduces its training rows
+    before anything is shuffled, and factors of a series merge in two steps; the
+    test rows, at most ``test_days`` per series, come along as a sorted list.
+    Every walk-forward strategy of up to ``degree`` follows from the result.
     """
     keys = list(spec.keys)
     inputs = [f"__x{i}" for i in range(len(MODEL_FEATURES))] + ["__y"]
@@ -444,21 +478,30 @@ def fold_history(frame: DataFrame, degree: int = 1, spec: SeriesSpec = SeriesSpe
     row = [*spec.order, spec.value, "y", "previous_close", *MODEL_FEATURES]
     passed = [*row, "__mean", "__spread"]
     rows = frame.select(
-        *keys, *passed, "is_test", *[c.alias(n) for c, n in zip(scaled, inputs)]
+        *keys,
+        *passed,
+        "is_test",
+        F.spark_partition_id().alias("task"),
+        *[c.alias(n) for c, n in zip(scaled, inputs)],
     )
-    schema = StructType([rows.schema[c] for c in (*keys, *passed)])
-    schema = schema.add("gram", ArrayType(DoubleType()))
-    # Summed rows carry nulls in the passed columns.
+    schema = StructType([rows.schema[c] for c in (*keys, "task", *passed)])
+    schema = schema.add("factor", ArrayType(DoubleType()))
+    # Reduced rows carry nulls in the passed columns.
     for field in schema.fields:
         field.nullable = True
-    parts = rows.mapInArrow(sum_products(keys, inputs, degree, passed), schema)
-    test_row = F.when(F.col("gram").isNull(), F.struct(*row))
-    return parts.groupBy(*keys).agg(
-        _added("gram"),
-        F.array_sort(F.collect_list(test_row)).alias("rows"),
-        F.max("__mean").alias("__mean"),
-        F.max("__spread").alias("__spread"),
+    parts = rows.mapInArrow(reduce_rows([*keys, "task"], inputs, degree, passed), schema)
+    test_row = F.when(F.col("factor").isNull(), F.struct(*row))
+    level = [F.max(c).alias(c) for c in ("__mean", "__spread")]
+    halfway = parts.groupBy(*keys, F.pmod("task", F.lit(64)).alias("task")).agg(
+        F.collect_list("factor").alias("factors"), F.collect_list(test_row).alias("rows"), *level
+    )
+    halfway = halfway.withColumn("factor", merged("factors"))
+    whole = halfway.groupBy(*keys).agg(
+        F.collect_list("factor").alias("factors"),
+        F.array_sort(F.flatten(F.collect_list("rows"))).alias("rows"),
+        *level,
     )
+    return whole.select(*keys, merged("factors").alias("factor"), "rows", "__mean", "__spread")
 
 
 def test_rows(history: DataFrame, spec: SeriesSpec = SeriesSpec()) -> DataFrame:
@@ -486,15 +529,20 @@ def walk_forward_simple(
 
     The window runs over the test rows only, at most ``test_days`` per series.
     """
-    # The gram lists the products row by row: constant, features, ..., target.
+    # Columns of the factor: constant, features, ..., target.
     width = len(monomials(len(MODEL_FEATURES), degree)) + 1
     last = width - 1
 
     def base(i: int, j: int) -> Column:
-        return F.element_at("gram", i * width + j + 1)
+        """Sum over the training rows of the product of two columns."""
+        products = [
+            F.element_at("factor", k * width + i + 1) * F.element_at("factor", k * width + j + 1)
+            for k in range(min(i, j) + 1)
+        ]
+        return reduce(add, products)
 
     exploded = history.withColumn("__r", F.explode("rows")).select(
-        *spec.keys, "__mean", "__spread", "gram", "__r.*"
+        *spec.keys, "__mean", "__spread", "factor", "__r.*"
     )
     w = W.partitionBy(*spec.keys).orderBy(*spec.order).rowsBetween(W.unboundedPreceding, -1)
 
@@ -528,11 +576,7 @@ def walk_forward_polynomial(
 ) -> DataFrame:
     """Expanding fits on all model features, for several degrees at once.
     ``degree`` is that of ``history`` (by default the highest of ``degrees``).
-
-    Degrees above 3 are refused: their normal equations have no reliable digits.
     """
-    if max(degrees) > 3:
-        raise ValueError("walk-forward fits support degrees 1 to 3")
     top = degree or max(degrees)
     keys = list(spec.keys)
     features = F.transform(
@@ -540,7 +584,7 @@ def walk_forward_polynomial(
     )
     target = F.transform("rows", lambda r: (r["y"] - F.col("__mean")) / F.col("__spread"))
     predict = expanding_predictions(len(MODEL_FEATURES), top, degrees)
-    out = history.withColumn("p", predict("gram", features, target))
+    out = history.withColumn("p", predict("factor", features, target))
     size = F.size("rows")
 
     def labelled(at: int, d: int) -> Column:

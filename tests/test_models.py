@@ -4,10 +4,13 @@ from pyspark.sql import functions as F
 
 from candlewick.config import MODEL_FEATURES
 from candlewick.functions.least_squares import (
-    GramSolver,
+    FactorSolver,
+    add_rows,
     expand,
     expanding_predictions,
     monomials,
+    reduced,
+    solve_factor,
 )
 from candlewick.operators import models
 from candlewick.operators.features import model_matrix, rolling_features
@@ -26,9 +29,9 @@ def test_terms():
 def test_exact_line_walk_forward(spark):
     # y = 2x on 1..5, the first three rows for training.
     x, y = np.arange(1.0, 6.0)[:, None], 2 * np.arange(1.0, 6.0)
-    z = GramSolver(1, 1).rows(x[:3], y[:3])
+    z = FactorSolver(1, 1).rows(x[:3], y[:3])
     data = spark.createDataFrame(
-        [((z.T @ z).ravel().tolist(), x[3:].tolist(), y[3:].tolist())],
+        [(reduced(z).ravel().tolist(), x[3:].tolist(), y[3:].tolist())],
         "g array<double>, x array<array<double>>, y array<double>",
     )
     got = data.select(expanding_predictions(1, 1, (1,))("g", "x", "y").alias("p")).first()["p"]
@@ -46,7 +49,7 @@ def test_sums_survive_being_sent_in_parts(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(whole) == 3
     for k, r in whole.items():
-        assert r["gram"] == pytest.approx(parts[k]["gram"]) and r["rows"] == parts[k]["rows"]
+        assert r["factor"] == pytest.approx(parts[k]["factor"], rel=1e-9, abs=1e-9) and r["rows"] == parts[k]["rows"]
 
 
 def matrix_rows(spark, prices):
@@ -60,9 +63,11 @@ def design(x, degree):
     return np.stack([np.prod(z**np.array(p), axis=1) for p in monomials(x.shape[1], degree)], axis=1)
 
 
-@pytest.mark.parametrize("degree", [1, 2])
+@pytest.mark.parametrize("degree", [1, 2, 4])
 def test_walk_forward_equals_refits(spark, degree):
-    prices = spark.createDataFrame(random_prices([150, 80, 45]), SCHEMA)
+    # Fewer rows than terms have no single best fit.
+    long = [150, 80] if degree < 3 else [420, 400]
+    prices = spark.createDataFrame(random_prices([*long, 45]), SCHEMA)
     days = 10
     history = models.fold_history(models.test_frame(prices, days), degree)
     got = {r["event_id"]: r for r in models.walk_forward_polynomial(history, (degree,)).collect()}
@@ -88,9 +93,30 @@ def test_training_minimum(spark):
     assert {r["symbol"] for r in frame.select("symbol").distinct().collect()} == {"S0"}
 
 
-def test_degree_limit(spark):
-    with pytest.raises(ValueError):
-        models.walk_forward_polynomial(spark.range(1), (4,))
+def test_factors_merge_grow_and_solve():
+    made = np.random.default_rng(3)
+    rows = made.normal(size=(60, 7)) * 10.0 ** np.arange(7)
+    rows[:, 0] = 1.0
+    whole = reduced(rows)
+    parts = reduced(np.concatenate([reduced(rows[:3]), reduced(rows[3:40]), rows[40:]]))
+    assert parts == pytest.approx(whole, rel=1e-9)
+    grown = np.stack([reduced(rows[:50]), reduced(rows[:40])])
+    for i in range(10):
+        add_rows(grown, np.stack([rows[50 + i], rows[40 + i]]))
+    assert grown[0] == pytest.approx(whole, rel=1e-8, abs=1e-8)
+    beta = solve_factor(np.stack([whole, reduced(rows[:50])]), 6)
+    assert beta[0] == pytest.approx(np.linalg.lstsq(rows[:, :6], rows[:, 6], rcond=None)[0], rel=1e-6)
+    assert beta[1] == pytest.approx(np.linalg.lstsq(rows[:50, :6], rows[:50, 6], rcond=None)[0], rel=1e-6)
+
+
+def test_exact_data_has_no_negative_errors():
+    x = np.arange(40.0)[:, None]
+    solver = FactorSolver(1, 3)
+    factor = reduced(solver.rows(x, 3 * x[:, 0] + 1))
+    for degree in (1, 2, 3):
+        beta = solve_factor(factor[None], solver.used(degree))[0]
+        assert 0 <= solver.error(factor, beta) < 1e-12
+    assert solver.count(factor) == pytest.approx(40) and solver.spread(factor) == pytest.approx(9 * 5330)
 
 
 def test_kfold_equals_refits(spark):
@@ -100,14 +126,14 @@ def test_kfold_equals_refits(spark):
     x = np.array([[r[f] for f in MODEL_FEATURES] for r in rows])
     y = np.array([r["close"] for r in rows])
     fold = np.array([r["event_id"] % 5 for r in rows])
-    got = {r["degree"]: r for r in models.kfold_polynomial(matrix, (1, 2, 3), models.fold_of("event_id")).collect()}
-    for degree in (1, 2, 3):
+    got = {r["degree"]: r for r in models.kfold_polynomial(matrix, (1, 2, 3, 4), models.fold_of("event_id")).collect()}
+    for degree in (1, 2, 3, 4):
         z = design(x, degree)
         errors = []
         for k in range(5):
             beta = np.linalg.lstsq(z[fold != k], y[fold != k], rcond=None)[0]
             errors.append(np.mean((y[fold == k] - z[fold == k] @ beta) ** 2))
-        assert got[degree]["mse"] == pytest.approx(np.mean(errors), rel=1e-4)
+        assert got[degree]["mse"] == pytest.approx(np.mean(errors), rel=1e-6)
     simple = models.kfold_simple(matrix, {"m": "mean_7d"}, models.fold_of("event_id")).first()
     errors = []
     for k in range(5):
@@ -157,3 +183,19 @@ def test_in_sample_linear_equals_numpy(spark):
     z = design(x, 1)
     want = z @ np.linalg.lstsq(z, y, rcond=None)[0]
     assert [r["p_LinearRegression"] for r in rows] == pytest.approx(want.tolist(), rel=1e-6)
+
+
+def test_in_sample_degrees_equal_numpy(spark):
+    prices = spark.createDataFrame(random_prices([300]), SCHEMA)
+    matrix = model_matrix(rolling_features(prices))
+    rows = matrix.collect()
+    x = np.array([[r[f] for f in MODEL_FEATURES] for r in rows])
+    y = np.array([r["close"] for r in rows])
+    got = {r["strategy"]: r for r in models.in_sample_polynomial(matrix, (1, 2, 3)).collect()}
+    for degree in (1, 2, 3):
+        z = design(x, degree)
+        p = z @ np.linalg.lstsq(z, y, rcond=None)[0]
+        r = got[models.strategy_name(degree)]
+        assert r["n"] == len(y) and r["mse"] == pytest.approx(np.mean((y - p) ** 2), rel=1e-6)
+        assert r["correlation"] == pytest.approx(np.corrcoef(p, y)[0, 1], rel=1e-6)
+        assert r["r2"] == pytest.approx(1 - np.mean((y - p) ** 2) / np.var(y), rel=1e-6)
