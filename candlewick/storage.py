@@ -13,7 +13,11 @@ def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        # Without a configured folder this is a local run, as in tests.
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="candlewick-checkpoint-"))
+        if folder is None:
+            if not context.master.split("[")[0] == "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            # Driver and executors are one process, so its own disk is shared.
+            folder = tempfile.mkdtemp(prefix="candlewick-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
