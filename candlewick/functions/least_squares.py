@@ -272,24 +272,34 @@ def expanding_predictions(variables: int, max_degree: int, degrees: Sequence[int
     return predict
 
 
+def _held_out_fits(solver: FactorSolver, factors: np.ndarray, degree: int) -> np.ndarray:
+    """Coefficients for each fold, from the merge of the other folds' factors."""
+    empty = np.zeros((1, solver.width))
+    folds = range(len(factors))
+    others = [
+        reduced(np.concatenate([empty, *(factors[j] for j in folds if j != k)])) for k in folds
+    ]
+    return solve_factor(np.stack(others), solver.used(degree))
+
+
+def _factors_by_fold(part: pd.DataFrame, solver: FactorSolver) -> tuple[list, np.ndarray]:
+    part = part.sort_values("fold")
+    stack = np.stack(part["factor"].to_list())
+    return part["fold"].to_list(), stack.reshape(-1, solver.width, solver.width)
+
+
 def fold_errors(variables: int, degree: int, degrees: Sequence[int]) -> Callable:
-    """Group function over all folds: mean held-out MSE and R2 per degree.  A
-    fold's training factor is the merge of the other folds' factors."""
+    """Group function over all folds: mean held-out MSE and R2 per degree."""
     degrees = tuple(degrees)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         solver = FactorSolver(variables, degree)
-        factors = np.stack(part.sort_values("fold")["factor"].to_list())
-        factors = factors.reshape(-1, solver.width, solver.width)
+        _, factors = _factors_by_fold(part, solver)
         unit = float(part["unit"].iloc[0])
-        folds = range(len(factors))
-        others = np.stack(
-            [reduced(np.concatenate([np.zeros((1, solver.width)), *(factors[j] for j in folds if j != k)])) for k in folds]
-        )
         rows = []
         for d in degrees:
             errors, scores = [], []
-            for held, beta in zip(factors, solve_factor(others, solver.used(d))):
+            for held, beta in zip(factors, _held_out_fits(solver, factors, d)):
                 sse, spread = solver.error(held, beta), solver.spread(held)
                 errors.append(sse / solver.count(held))
                 scores.append(1.0 - sse / spread if spread > 0 else np.nan)
@@ -299,6 +309,49 @@ def fold_errors(variables: int, degree: int, degrees: Sequence[int]) -> Callable
     return run
 
 
+def fold_coefficients(variables: int, degree: int, degrees: Sequence[int]) -> Callable:
+    """Group function over all folds: the held-out fits themselves."""
+    degrees = tuple(degrees)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        solver = FactorSolver(variables, degree)
+        names, factors = _factors_by_fold(part, solver)
+        rows = [
+            (fold, d, beta.tolist())
+            for d in degrees
+            for fold, beta in zip(names, _held_out_fits(solver, factors, d))
+        ]
+        return pd.DataFrame(rows, columns=["fold", "degree", "beta"])
+
+    return run
+
+
+def absolute_errors(
+    inputs: Sequence[str], degree: int, fits: dict[tuple[int, int], list[float]]
+) -> Callable:
+    """Task function for ``mapInArrow``: sums of absolute held-out errors per
+    (fold, degree) and batch."""
+    terms = monomials(len(inputs) - 1, degree)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in inputs[:-1]])
+            y = batch.column(inputs[-1]).to_numpy(zero_copy_only=False)
+            fold = batch.column("fold").to_numpy(zero_copy_only=False)
+            z = expand(x, terms)
+            out = []
+            for (k, d), beta in fits.items():
+                mine = fold == k
+                gap = np.abs(y[mine] - z[mine][:, : len(beta)] @ np.asarray(beta))
+                out.append((k, d, int(mine.sum()), float(gap.sum())))
+            columns = zip(*out)
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64())
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["fold", "degree", "n", "total"])
+
+    return run
+
+
 def pooled_errors(variables: int, degree: int, degrees: Sequence[int]) -> Callable:
     """Group function over one factor: n, MSE and spread of the in-sample fits."""
     degrees = tuple(degrees)

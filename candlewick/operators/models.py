@@ -27,7 +27,9 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from candlewick.config import FOLDS, MIN_TRAIN_ROWS, MODEL_FEATURES, TEST_DAYS, SeriesSpec
 from candlewick.functions.least_squares import (
+    absolute_errors,
     expanding_predictions,
+    fold_coefficients,
     fold_errors,
     merged,
     monomials,
@@ -146,12 +148,13 @@ def fit_quality(wide: DataFrame, y: str = "close") -> DataFrame:
         ]
     )
     listed = one.select(table.alias("t"))
-    # Order by (R2, earlier position): the first of equal scores wins.
+    # Order by (R2, earlier position): the first of equal scores wins, and any
+    # score wins over an undefined one.
     best = F.array_max(
         F.transform(
             "t",
             lambda s: F.named_struct(
-                F.lit("r2"), s["r2"], F.lit("at"), -s["ord"], F.lit("name"), s["strategy"]
+                F.lit("r2"), F.when(~F.isnan(s["r2"]), s["r2"]), F.lit("at"), -s["ord"], F.lit("name"), s["strategy"]
             ),
         )
     )
@@ -263,7 +266,7 @@ def kfold_polynomial(
     follow from them.
     """
     top = max(degrees)
-    per_fold, unit = _pooled_factors(matrix, top, features, y, fold)
+    per_fold, unit, _ = _pooled_factors(matrix, top, features, y, fold)
     # ``folds`` rows meet here.
     scored = per_fold.select("fold", "factor", unit.alias("unit")).groupBy()
     return scored.applyInPandas(
@@ -278,6 +281,36 @@ def kfold_polynomial(
     )
 
 
+def kfold_absolute(
+    matrix: DataFrame,
+    degrees: Sequence[int],
+    fold: Column,
+    features: Sequence[str] = MODEL_FEATURES,
+    y: str = "close",
+) -> DataFrame:
+    """Mean absolute held-out error (strategy, mae) of the fits that
+    ``kfold_polynomial`` scores, by one more pass over the rows.
+
+    The fits come to the driver: a few numbers per fold, degree and term.
+    """
+    top = max(degrees)
+    per_fold, unit, rows = _pooled_factors(matrix, top, features, y, fold)
+    fitted = per_fold.select("fold", "factor").groupBy().applyInPandas(
+        fold_coefficients(len(features), top, degrees), "fold int, degree int, beta array<double>"
+    )
+    fits = {(r["fold"], r["degree"]): list(r["beta"]) for r in fitted.collect()}
+    if not fits:
+        return matrix.sparkSession.createDataFrame([], "strategy string, mae double")
+    inputs = [f"x{i}" for i in range(len(features) + 1)]
+    sums = rows.select("fold", *inputs).mapInArrow(
+        absolute_errors(inputs, top, fits), "fold int, degree int, n long, total double"
+    )
+    means = sums.groupBy("degree", "fold").agg((F.sum("total") / F.sum("n")).alias("mae"))
+    return means.groupBy("degree").agg(F.avg("mae").alias("mae")).select(
+        strategy_column("degree").alias("strategy"), (F.col("mae") * unit).alias("mae")
+    )
+
+
 def in_sample_polynomial(
     matrix: DataFrame,
     degrees: Sequence[int],
@@ -290,7 +323,7 @@ def in_sample_polynomial(
     predictions correlate with the target by the root of it.
     """
     top = max(degrees)
-    pooled, unit = _pooled_factors(matrix, top, features, y, F.lit(0))
+    pooled, unit, _ = _pooled_factors(matrix, top, features, y, F.lit(0))
     fitted = pooled.select("factor", unit.alias("unit")).groupBy().applyInPandas(
         pooled_errors(len(features), top, degrees), "degree int, n long, mse double, variance double"
     )
@@ -307,8 +340,8 @@ def in_sample_polynomial(
 
 def _pooled_factors(
     matrix: DataFrame, degree: int, features: Sequence[str], y: str, fold: Column
-) -> tuple[DataFrame, Column]:
-    """(fold, factor) of the standardised rows, and the target's unit."""
+) -> tuple[DataFrame, Column, DataFrame]:
+    """(fold, factor) of the standardised rows, the target's unit, the rows."""
     names = [*features, y]
     aggregates = [F.avg(c).alias(f"m_{c}") for c in names]
     aggregates += [F.stddev_samp(c).alias(f"s_{c}") for c in names]
@@ -326,7 +359,7 @@ def _pooled_factors(
     )
     schema = "fold int, task int, factor array<double>"
     partial = rows.mapInArrow(reduce_rows(("fold", "task"), inputs, degree), schema)
-    return merge_factors(partial, ["fold"]), matrix.agg(F.stddev_samp(y)).scalar()
+    return merge_factors(partial, ["fold"]), matrix.agg(F.stddev_samp(y)).scalar(), rows
 
 
 def merge_factors(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -418,15 +451,18 @@ def kfold_pipeline(
         tested = part if tested is None else tested.unionByName(part)
     gap = F.col("close") - F.col("prediction")
     per_fold = tested.groupBy("fold").agg(
-        F.avg(gap * gap).alias("mse"), F.var_pop("close").alias("spread")
+        F.avg(gap * gap).alias("mse"),
+        F.avg(F.abs(gap)).alias("mae"),
+        F.var_pop("close").alias("spread"),
     )
     out = per_fold.agg(
         F.count(F.lit(1)).cast("int").alias("folds"),
         F.avg("mse").alias("mse"),
+        F.avg("mae").alias("mae"),
         F.avg(1 - F.try_divide("mse", "spread")).alias("r2"),
     )
     return out.select(
-        F.lit(name).alias("strategy"), "folds", "mse", F.sqrt("mse").alias("rmse"), "r2"
+        F.lit(name).alias("strategy"), "folds", "mse", F.sqrt("mse").alias("rmse"), "r2", "mae"
     )
 
 

@@ -109,9 +109,9 @@ def _test_lines(flag: Column) -> list[Column]:
     ]
 
 
-# Sorts pairs by first, then second group.
+# Sorts pairs by first, then second group: one number in each half of a long.
 def _pair_item() -> Column:
-    return F.col("ord1").cast("long") * 10_000_000 + F.col("ord2")
+    return F.col("ord1").cast("long") * (1 << 31) + F.col("ord2")
 
 
 def _pair_lines(pairs: DataFrame, section: int) -> DataFrame:

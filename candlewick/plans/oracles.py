@@ -772,7 +772,7 @@ def _q(text: str) -> str:
     return f"'{text}'"
 
 
-PAIR_ITEM = "ord1 * 10000000 + ord2"
+PAIR_ITEM = "ord1 * 2147483648 + ord2"
 PAIR_LINES = [
     "group1 || ' vs ' || group2 || ':'",
     f"'  Diferença de Média: ' || {fixed('mean_diff', 4)}",

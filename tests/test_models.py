@@ -173,6 +173,25 @@ def test_compare_models(spark):
         workflows.compare_models(prices, metric="accuracy")
 
 
+def test_mean_absolute_error(spark):
+    prices = spark.createDataFrame(random_prices([120, 90]), SCHEMA)
+    ranked = workflows.compare_models(prices, (1, 2), ("DecisionTreeRegressor",), metric="mae").collect()
+    assert [r["mae"] for r in ranked] == sorted(r["mae"] for r in ranked) and len(ranked) == 3
+    matrix = model_matrix(rolling_features(prices))
+    rows = matrix.collect()
+    x = np.array([[r[f] for f in MODEL_FEATURES] for r in rows])
+    y = np.array([r["close"] for r in rows])
+    fold = np.array([r["event_id"] % 5 for r in rows])
+    got = {r["strategy"]: r["mae"] for r in models.kfold_absolute(matrix, (1, 2), models.fold_of("event_id")).collect()}
+    for degree in (1, 2):
+        z = design(x, degree)
+        errors = []
+        for k in range(5):
+            beta = np.linalg.lstsq(z[fold != k], y[fold != k], rcond=None)[0]
+            errors.append(np.mean(np.abs(y[fold == k] - z[fold == k] @ beta)))
+        assert got[models.strategy_name(degree)] == pytest.approx(np.mean(errors), rel=1e-6)
+
+
 def test_in_sample_linear_equals_numpy(spark):
     prices = spark.createDataFrame(random_prices([150]), SCHEMA)
     matrix = model_matrix(rolling_features(prices))
