@@ -33,7 +33,7 @@ class RepeatSpec:
 
     length: int = 400
     anchor: int = 32
-    group: int = 512
+    group: int = 2048
     chunk: int = 46
 
 
@@ -190,13 +190,6 @@ def repeated_spans(lefts: list[bytes], rights: list[bytes], length: int) -> list
 _COVER = "key long, context long, low int, high int"
 
 
-def _cover(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, names=["key", "context", "low", "high"])
-
-
 def _scan(spec: RepeatSpec):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[int, int, int, int]] = []
@@ -208,66 +201,114 @@ def _scan(spec: RepeatSpec):
                 for i, spans in enumerate(found):
                     rows += [(keys[i], contexts[i], -before, after) for before, after in spans]
             if len(rows) > 10_000:
-                yield _cover(rows)
+                yield _batch(rows, _COVER)
                 rows = []
-        yield _cover(rows)
+        yield _batch(rows, _COVER)
 
     return run
 
 
-_PART = "key long, context long, n long, part int, core long"
+_PART = "key long, context long, n long, part int, core long, whole long"
+_START = "key long, context long, n long, part int, core long"
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * len(fields)
+    kinds = {"long": pa.int64(), "int": pa.int32()}
+    arrays = [pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=[f for f, _ in fields])
+
+
+def _starts_of(row: dict, spec: RepeatSpec) -> tuple[np.ndarray, int, range]:
+    """Hash sums of a context, where its anchor stands, and the bytes before the
+    anchor at which its strings of ``length`` may start."""
+    before, after = len(row["left"]), len(row["right"])
+    data = np.frombuffer(row["left"][::-1] + row["right"], np.uint8)
+    return hash_sums(data), before, range(max(0, spec.length - after), before + 1)
 
 
-def _parts(spec: RepeatSpec, single: bool):
-    """The strings of ``length`` around an anchor, by the core that those with
-    starts in one chunk share, or (``single``) each by itself."""
+def _parts(spec: RepeatSpec):
+    """For each chunk of starts of a context the core that all its strings share,
+    and the whole that they span; null where the context cuts the chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                before, after = len(row["left"]), len(row["right"])
-                data = np.frombuffer(row["left"][::-1] + row["right"], np.uint8)
-                sums = hash_sums(data)
-                first, last = max(0, spec.length - after), before  # bytes before the anchor
-                parts = np.arange(first, last + 1)
-                if single:
-                    chosen = np.isin(parts // spec.chunk, np.array(row["parts"]))
-                    parts = parts[chosen]
-                    low, size = before - parts, spec.length
-                else:
-                    parts = np.unique(parts // spec.chunk)
-                    low, size = before - parts * spec.chunk, spec.length - spec.chunk + 1
-                cores = sums_hash(sums, low, low + size).astype(np.int64)
-                for p, c in zip(parts.tolist(), cores.tolist(), strict=True):
-                    out.append((row["key"], row["context"], row["n"], p, c))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "context", "n", "part", "core"])
+                sums, before, starts = _starts_of(row, spec)
+                for part in range(starts[0] // spec.chunk, starts[-1] // spec.chunk + 1):
+                    first, last = part * spec.chunk, (part + 1) * spec.chunk - 1
+                    low, high = before - first, before - last + spec.length
+                    (core,) = sums_hash(sums, np.array([low]), np.array([high])).astype(np.int64)
+                    whole = None
+                    if first in starts and last in starts:
+                        low, high = before - last, before - first + spec.length
+                        (whole,) = sums_hash(sums, np.array([low]), np.array([high])).astype(np.int64)
+                    out.append((row["key"], row["context"], row["n"], part, core, whole))
+            yield _batch(out, _PART)
 
     return run
 
 
-def _twice(rows: DataFrame) -> DataFrame:
-    keys = ["key", "part", "core"]
-    total = rows.groupBy(*keys).agg(F.sum("n").alias("total")).where("total > 1").select(*keys)
-    return rows.join(total, keys, "left_semi")
+def _singles(spec: RepeatSpec):
+    """Each string of ``length`` that starts in the wanted chunks of a context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                sums, before, starts = _starts_of(row, spec)
+                for wanted in row["parts"]:
+                    first = wanted["part"] * spec.chunk
+                    own = np.arange(max(first, starts[0]), min(first + spec.chunk - 1, starts[-1]) + 1)
+                    cores = sums_hash(sums, before - own, before - own + spec.length).astype(np.int64)
+                    for p, c in zip(own.tolist(), cores.tolist(), strict=True):
+                        out.append((row["key"], row["context"], wanted["n"], p, c))
+            yield _batch(out, _START)
+
+    return run
 
 
 def _large_groups(contexts: DataFrame, spec: RepeatSpec) -> DataFrame:
-    """The same stretches for groups of any size, by counting strings: first the
-    cores of chunks of starts, then each start of the chunks whose core repeats."""
-    cores = _twice(contexts.drop("m").mapInArrow(_parts(spec, False), _PART))
-    parts = cores.groupBy("key", "context").agg(F.collect_set("part").alias("parts"))
-    wanted = contexts.drop("m").join(parts, ["key", "context"])
-    starts = _twice(wanted.mapInArrow(_parts(spec, True), _PART))
-    return starts.select(
+    """The same stretches for groups of any size, by counting strings.
+
+    Starts are taken in chunks.  Where the whole of a chunk repeats, so do all its
+    strings; where its core does not, none does.  Only in between, and for one
+    context of each distinct whole, single strings are counted.
+    """
+    same = ["key", "part", "core"]
+    parts = contexts.mapInArrow(_parts(spec), _PART)
+    # A chunk that is cut has a whole of its own.
+    parts = parts.withColumn("cut", F.col("whole").isNull()).withColumn(
+        "whole", F.coalesce("whole", F.xxhash64("key", "context", "part"))
+    )
+    parts = settle(parts)
+    wholes = parts.groupBy(*same, "whole", "cut").agg(
+        F.sum("n").alias("n"), F.min("context").alias("context")
+    )
+    again = wholes.where("n > 1 and not cut").select(*same, "whole")
+    full = parts.join(again, [*same, "whole"], "left_semi").select(
+        "key",
+        "context",
+        (-(F.col("part") + 1) * spec.chunk + 1).cast("int").alias("low"),
+        (F.lit(spec.length) - F.col("part") * spec.chunk).cast("int").alias("high"),
+    )
+    several = wholes.groupBy(*same).agg(F.count("*").alias("w")).where("w > 1").select(*same)
+    open_parts = (
+        wholes.join(several, same, "left_semi")
+        .groupBy("key", "context")
+        .agg(F.collect_list(F.struct("part", "n")).alias("parts"))
+    )
+    starts = contexts.drop("n", "m").join(open_parts, ["key", "context"]).mapInArrow(_singles(spec), _START)
+    total = starts.groupBy(*same).agg(F.sum("n").alias("total")).where("total > 1").select(*same)
+    single = starts.join(total, same, "left_semi").select(
         "key",
         "context",
         (-F.col("part")).cast("int").alias("low"),
         (F.lit(spec.length) - F.col("part")).cast("int").alias("high"),
     )
+    return full.unionByName(single)
 
 
 def repeated_stretches(docs: DataFrame, spec: RepeatSpec = RepeatSpec()) -> DataFrame:
