@@ -11,7 +11,7 @@ from urllib.parse import quote
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -32,7 +32,7 @@ _HEAD_BYTES = 1 << 16
 
 
 def _header_of(path: str) -> str:
-    """Second line of a file, read from its first bytes."""
+    """First line after the banner that is not blank, read from a file's first bytes."""
     from pyarrow import fs
 
     # Hadoop paths are not URL-encoded, and name the same store s3a or s3n.
@@ -42,10 +42,12 @@ def _header_of(path: str) -> str:
     while True:
         with system.open_input_stream(local) as stream:
             data = stream.read(wanted)
-        lines = data.decode("utf-8-sig", errors="replace").splitlines()
-        # The header is complete once a third line starts or the file ends.
-        if len(lines) > 2 or len(data) < wanted:
-            return lines[1] if len(lines) > 1 else ""
+        lines = re.split("\r\n|\n|\r", data.decode("utf-8-sig", errors="replace"))
+        # A line is complete once another one starts or the file ends.
+        complete = lines if len(data) < wanted else lines[:-1]
+        header = next((line for line in complete[1:] if line.strip()), None)
+        if header is not None or len(data) < wanted:
+            return header or ""
         wanted *= 4
 
 
@@ -69,7 +71,8 @@ def scan_banner_csv(
     Each file starts with a banner line, then a header.  Headers are read in
     tasks from the first bytes of each file; files with the same header are
     then read as one CSV scan.  Columns named in ``types`` are parsed, values
-    that do not parse become null, all others stay text.
+    that do not parse and NaN become null, all others stay text.  Blank lines count
+    nowhere.
     """
     types = PRICE_TYPES if types is None else types
     listing = (
@@ -111,9 +114,13 @@ def _scan_layout(
     is_header = F.lit(True)
     for c, text in zip(positional, raw):
         is_header &= F.col(c).eqNullSafe(F.lit(text.rstrip() or None))
+
+    def parsed(c: str, name: str) -> Column:
+        value = F.col(c).try_cast(types[name])
+        return F.when(~F.isnan(value), value) if types[name] in ("double", "float") else value
+
     typed = [
-        F.col(c).try_cast(types[n]).alias(n) if n in types else F.col(c).alias(n)
-        for c, n in zip(positional, names)
+        (parsed(c, n) if n in types else F.col(c)).alias(n) for c, n in zip(positional, names)
     ]
     return rows.where(~is_header).select(*typed)
 

@@ -97,3 +97,10 @@ def test_describe_gives_every_table(spark):
     tables = describe(prices)
     assert all(t.count() > 0 for t in tables.values())
     assert describe(prices, ["S1"])["summary_statistics"].count() == 1
+
+
+def test_blank_lines_nan_and_odd_line_ends(spark, tmp_path):
+    write(tmp_path, "a.csv", "site\n\n \nsymbol,close,note\nA,1.5,x y\n\nB,NaN,z\n")
+    write(tmp_path, "b.csv", "site\r\nsymbol,close\r\nC,2\r\n")
+    got = {r["symbol"]: (r["close"], r["note"]) for r in scan_banner_csv(spark, str(tmp_path)).collect()}
+    assert got == {"A": (1.5, "x y"), "B": (None, "z"), "C": (2.0, None)}
