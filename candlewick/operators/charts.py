@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candlewick.config import HISTOGRAM_BINS, RADAR_TOP
@@ -89,8 +88,7 @@ def boxplot_statistics(prices: DataFrame) -> DataFrame:
 
 def variability_normalized(prices: DataFrame) -> DataFrame:
     table = compare_variability(prices)
-    # One row per symbol, so the unpartitioned maximum is small.
-    share = F.try_divide("variability", F.max("variability").over(W.partitionBy()))
+    share = F.try_divide(F.col("variability"), table.agg(F.max("variability")).scalar())
     return table.select(
         "symbol",
         "variability",
@@ -106,10 +104,11 @@ def radar_metrics(
     all symbols (metrics whose maximum is not positive stay as they are)."""
     table = dispersion_comparison(prices, described=described)
     table = table.withColumn("__cv", F.col("coef_variacao"))
-    every = W.partitionBy()
+    maxima = table.agg(F.struct(*[F.max(m).alias(m) for m in RADAR_METRICS])).scalar()
+    table = table.withColumn("__most", maxima)
 
     def scaled(name: str):
-        most = F.max(name).over(every)
+        most = F.col(f"__most.{name}")
         return F.when(most > 0, F.col(name) / most).otherwise(F.col(name)).alias(name)
 
     shares = table.select("symbol", "__cv", *[scaled(m) for m in RADAR_METRICS])

@@ -8,11 +8,11 @@ tests take its small result, which a caller of several tests can store first.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candlewick.config import EXPECTED_RETURN, SIGNIFICANCE
 from candlewick.functions.distributions import f_survival, student_t_two_sided
+from candlewick.operators.ordering import median_of, numbered
 
 COMBO = ("symbol", "strategy")
 
@@ -170,18 +170,20 @@ def median_split(stats: DataFrame, criterion: str = "volatility") -> DataFrame:
         "mean_return": F.col("mean"),
         "investment_frequency": F.col("n").cast("double"),
     }[metric]
-    # One row per combination from here, so one task can hold them all.
-    middle = F.median(value).over(W.partitionBy())
-    kept = stats.where(F.col("n") > 1)
-    return kept.withColumns({"metric": value, "median": middle}).withColumn(
+    kept = stats.where(F.col("n") > 1).withColumn("metric", value)
+    return kept.withColumn("median", median_of(kept, "metric")).withColumn(
         "group_name", F.when(F.col("metric") > F.col("median"), high).otherwise(low)
     )
 
 
 def group_statistics(split: DataFrame) -> DataFrame:
     """Merge member statistics into (group_name, n, mean, variance, first)."""
-    n, mean = F.col("n"), F.col("mean")
+    # Distances to one central value keep the squares small.
+    centre = split.agg(F.avg("mean")).scalar()
+    split = split.withColumn("__d", F.col("mean") - centre).withColumn("__centre", centre)
+    n, mean = F.col("n"), F.col("__d")
     merged = split.groupBy("group_name").agg(
+        F.first("__centre").alias("__centre"),
         F.sum("n").alias("n"),
         F.sum(n * mean).alias("__s1"),
         F.sum(n * mean * mean).alias("__s2"),
@@ -197,7 +199,7 @@ def group_statistics(split: DataFrame) -> DataFrame:
     return merged.select(
         "group_name",
         "n",
-        average.alias("mean"),
+        (F.col("__centre") + average).alias("mean"),
         F.try_divide(squares, F.col("n") - 1).alias("variance"),
         "first",
         "combos",
@@ -252,20 +254,15 @@ def pairwise_ttest(
     The pairs are the result, so their number is what was asked for; each group
     lists the numbers of its later partners and finds them by an equi-join.
     """
-    # One row per group: numbering them is small.
-    numbered = groups.select(
-        F.row_number().over(W.orderBy(*order)).alias("ord"),
-        label.alias("label"),
-        "n",
-        "mean",
-        "variance",
-        F.count(F.lit(1)).over(W.partitionBy()).alias("k"),
+    placed = numbered(groups.withColumn("label", label), order, "ord").withColumn(
+        "ord", F.col("ord").cast("int")
     )
-    left = numbered.where(F.col("ord") < F.col("k")).select(
-        F.explode(F.sequence(F.col("ord") + 1, F.col("k").cast("int"))).alias("ord2"),
+    k = placed.agg(F.max("ord")).scalar()
+    left = placed.withColumn("k", k).where(F.col("ord") < F.col("k")).select(
+        F.explode(F.sequence(F.col("ord") + 1, F.col("k"))).alias("ord2"),
         *[F.col(c).alias(f"{c}1") for c in ("ord", "label", "n", "mean", "variance")],
     )
-    right = numbered.select(
+    right = placed.select(
         *[F.col(c).alias(f"{c}2") for c in ("ord", "label", "n", "mean", "variance")]
     )
     pairs = left.join(right, "ord2")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from candlewick.functions.rounding import round_half_even
 from candlewick.operators.distribution import describe_values
+from candlewick.operators.ordering import numbered
 
 
 def filter_symbols(df: DataFrame, symbols: Sequence[str] | None = None) -> DataFrame:
@@ -107,17 +107,15 @@ def mean_abs_deviation(prices: DataFrame) -> DataFrame:
 
 
 def volatility_ranking(prices: DataFrame, described: DataFrame | None = None) -> DataFrame:
-    # One row per symbol, so the unpartitioned ranking window stays small.
-    order = W.orderBy(F.col("coef_variacao").desc_nulls_last(), "symbol")
+    """Positions by falling coefficient of variation; equal ones share a rank."""
     table = dispersion_comparison(prices, described=described)
-    return table.select(
-        "symbol",
-        "coef_variacao",
-        "desvio_padrao",
-        F.row_number().over(order).cast("long").alias("position"),
-        F.rank().over(W.orderBy(F.col("coef_variacao").desc_nulls_last())).cast("long").alias(
-            "rank"
-        ),
+    table = table.select("symbol", "coef_variacao", "desvio_padrao")
+    order = [F.col("coef_variacao").desc_nulls_last(), F.col("symbol")]
+    placed = numbered(table, order, "position")
+    ranks = placed.groupBy(F.col("coef_variacao").alias("__cv")).agg(F.min("position").alias("rank"))
+    same = F.col("coef_variacao").eqNullSafe(F.col("__cv"))
+    return placed.join(ranks, same).select(
+        "symbol", "coef_variacao", "desvio_padrao", "position", "rank"
     )
 
 
