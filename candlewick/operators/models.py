@@ -489,6 +489,24 @@ def test_frame(
     return tail_split(rows, test_days, min_train, spec, layout, level=spec.value)
 
 
+def skipped_series(
+    prices: DataFrame,
+    test_days: int = TEST_DAYS,
+    min_train: int = MIN_TRAIN_ROWS,
+    spec: SeriesSpec = SeriesSpec(),
+    drop_any: bool = False,
+) -> DataFrame:
+    """Series too short for the tail split, with their number of usable rows.  Series
+    without any usable row count as 0."""
+    features = rolling_features(prices, spec)
+    rows = features.dropna() if drop_any else complete_rows(features)
+    keys = list(spec.keys)
+    usable = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("usable_rows"))
+    every = prices.dropna(subset=keys).select(*keys).distinct()
+    counted = every.join(usable, keys, "left").fillna(0, ["usable_rows"])
+    return counted.where(F.col("usable_rows") < test_days + min_train)
+
+
 def _scaled(c: Column, feature: str) -> Column:
     shift = F.col("__mean") if feature in _LEVEL else F.lit(0.0)
     scale = F.col("__spread") if feature in _PRICE_SCALE else F.lit(1.0)

@@ -157,8 +157,10 @@ def backtest(
     predicted, tail = predict(
         chosen, degrees, simple, test_days, spec, target, min_train, drop_any=True
     )
+    skipped = models.skipped_series(chosen, test_days, min_train, spec, drop_any=True)
     return {
         "predictions": predicted,
+        "skipped": skipped,
         "days": bt.backtest_days(predicted, tail, capital, spec),
         "consolidated": bt.consolidated(predicted, tail, capital, spec),
         "capital_curve": bt.capital_curve(predicted, tail, capital, spec),

@@ -91,6 +91,8 @@ def test_training_minimum(spark):
     rows = random_prices([47, 46])
     frame = models.test_frame(spark.createDataFrame(rows, SCHEMA), 10)
     assert {r["symbol"] for r in frame.select("symbol").distinct().collect()} == {"S0"}
+    skipped = models.skipped_series(spark.createDataFrame(rows, SCHEMA), 10).collect()
+    assert [tuple(r) for r in skipped] == [("S1", 39)]
 
 
 def test_factors_merge_grow_and_solve():
