@@ -100,7 +100,7 @@ def _sketcher(spec: NearSpec):
                 continue
             sketches = np.stack(rows)
             keys = bands(sketches, spec.rows)[np.array(full)]
-            packed = [k.tobytes() for k in bands(sketches, spec.rows)]
+            packed = [k.tobytes() for k in bands(sketches, spec.rows).astype(np.int32)]
             marks = [m.tobytes() for m in mix(sketches).astype(np.uint8)]
             per = np.where(full, keys.shape[1], 0)
             offsets = np.concatenate([[0], np.cumsum(per)]).astype(np.int32)
@@ -151,9 +151,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _hub_pairs(rows: DataFrame, second: bool) -> DataFrame:
-    """In each bucket the hub with every node of another component, once each.
+    """Each node with the best of the hubs of its buckets that is in another component.
 
-    The hub is the node with the most bucket partners in all its bands: among
+    A bucket's hub is the node with the most bucket partners in all its bands: among
     varied copies of one text, that text.  The second time it is the best node
     outside the first hub's component.
     """
@@ -162,10 +162,13 @@ def _hub_pairs(rows: DataFrame, second: bool) -> DataFrame:
     if second:
         others = rows.join(hubs, "band").where(F.col("root") != F.col("hub.root"))
         hubs = others.groupBy("band").agg(rank.alias("hub"))
-    hub = -F.col("hub.minus")
+    best = F.max(F.struct("hub.score", "hub.minus")).alias("best")
+    hub = -F.col("best.minus")
     return (
         rows.join(hubs, "band")
         .where(F.col("root") != F.col("hub.root"))
+        .groupBy("node")
+        .agg(best)
         .select(F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b"))
         .distinct()
     )
@@ -204,8 +207,9 @@ def _compare(percent: int, exact: bool):
             part = part.combine_chunks()
             node, n, root, side = (part.column(c).to_numpy() for c in ("node", "n", "root", "side"))
             marks = matrix(part, "marks", np.uint8)
-            keys = matrix(part, "keys", np.int64)
-            position = int(np.flatnonzero(keys[0] == part.column("band")[0].as_py())[0])
+            keys = matrix(part, "keys", np.int32)
+            band = np.array([part.column("band")[0].as_py()]).astype(np.int32)
+            position = int(np.flatnonzero(keys[0] == band[0])[0])
             # A bucket's block with itself, or one block with another.
             crossed = part.column("low")[0].as_py() != part.column("high")[0].as_py()
             used = np.zeros(len(node), bool)
@@ -283,8 +287,8 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     linked; component_id is the smallest doc_id reachable and kept marks it.
 
     * Equal sets are one node, whatever their number.
-    * In each bucket of equal bands every node is checked against the bucket's
-      hub, twice.  Where a bucket then still spans several components, nodes of
+    * Each bucket of equal bands has a hub, and every node is checked against the
+      best hub of its buckets, twice.  Where a bucket then still spans several components, nodes of
       different ones whose sketches agree well enough are checked too.  Pairs
       within a component are never built.
     * A link at the threshold misses all 32 bands of four with probability below
