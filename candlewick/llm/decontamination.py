@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +15,10 @@ from pyspark.sql import functions as F
 from candlewick.llm.textscan import ALPHANUMERIC, U, blocks, mix, seeds, words
 from candlewick.storage import settle
 
-#: Which of eight consecutive words each seed looks at.
-MASKS = ("11010011", "10110101", "11101001", "10011011")
+#: Which of eight, or five, consecutive words each seed looks at.
+#: Together they hit every stretch that meets LeakSpec's defaults: a search over all
+#: patterns of replaced words leaves none out (the tests hold the short ones).
+MASKS = ("11010011", "10110101", "11101001", "10011011", "11111")
 SPAN = 8
 
 #: Bits of the filter of benchmark hashes that goes to every task, whatever the
@@ -38,7 +42,7 @@ def seed_hashes(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     n = len(hashes)
     for m, mask in enumerate(MASKS):
         factor = seeds(SPAN + 1, 100 + m) | U(1)
-        h = np.full(max(n - SPAN + 1, 0), factor[SPAN], U)
+        h = np.full(max(n - len(mask) + 1, 0), factor[SPAN], U)
         for k, care in enumerate(mask):
             if care == "1":
                 h += hashes[k : k + len(h)] * factor[k]
@@ -46,15 +50,15 @@ def seed_hashes(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _inside(first: np.ndarray) -> np.ndarray:
+def _inside(first: np.ndarray, span: int) -> np.ndarray:
     """Words at which a whole span fits into their text."""
     n = int(first[-1])
     ok = np.zeros(n + 1, np.int64)
     counts = np.diff(first)
-    long = counts >= SPAN
+    long = counts >= span
     ok[first[:-1][long]] += 1
-    ok[(first[1:] - SPAN + 1)[long]] -= 1
-    return np.cumsum(ok)[: max(n - SPAN + 1, 0)] > 0
+    ok[(first[1:] - span + 1)[long]] -= 1
+    return np.cumsum(ok)[: max(n - span + 1, 0)] > 0
 
 
 def _spread(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,13 +100,12 @@ def _scanner(name: str, passes):
         for batch in batches:
             for block in blocks(batch.column("text")):
                 found = words(block, ALPHANUMERIC)
-                fits = _inside(found.first)
                 keys, places = [], []
-                for h in seed_hashes(found.hashes, found.first):
-                    ok = fits
+                for mask, h in zip(MASKS, seed_hashes(found.hashes, found.first), strict=True):
+                    ok = _inside(found.first, len(mask))
                     if allowed is not None:
                         one, two = _spread(h)
-                        ok = fits & allowed[one]
+                        ok = ok & allowed[one]
                         at = np.flatnonzero(ok)
                         at = at[allowed[two[at]]]
                     else:
@@ -136,17 +139,27 @@ def _scanner(name: str, passes):
     return run
 
 
-def _best_run(agree: np.ndarray, share: float) -> tuple[int, int]:
-    """The stretch with the largest surplus of agreeing places over ``share``."""
-    gain = np.where(agree, 1 - share, -share)
-    sums = np.concatenate([[0.0], np.cumsum(gain)])
+def _best_run(agree: np.ndarray, share: Fraction) -> tuple[int, int]:
+    """The stretch with the most agreeing places of all that reach ``share``.
+
+    Only the least sums so far can start it, and each goes with the last place
+    whose sum is not below its own.
+    """
+    n, d = share.numerator, share.denominator
+    sums = np.concatenate([[0], np.cumsum(np.where(agree, d - n, -n))])
+    count = np.concatenate([[0], np.cumsum(agree)])
     low = np.minimum.accumulate(sums)
-    end = int(np.argmax(sums - low + 1e-9 * np.arange(len(sums))))
-    start = int(np.argmin(sums[: end + 1]))
-    return start, end
+    starts = np.flatnonzero(np.diff(low, prepend=low[0] + 1))
+    highest = np.maximum.accumulate(sums[::-1])  # of all places from the end on
+    ends = len(sums) - 1 - np.searchsorted(highest, sums[starts])
+    best = int(np.argmax(count[ends] - count[starts]))
+    inside = np.flatnonzero(agree[starts[best] : ends[best]]) + starts[best]
+    return (int(inside[0]), int(inside[-1]) + 1) if len(inside) else (0, 0)
 
 
 def _verifier(spec: LeakSpec):
+    share = Fraction(str(spec.share))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, items, starts, ends, matched, size = [], [], [], [], [], []
@@ -158,9 +171,9 @@ def _verifier(spec: LeakSpec):
                 b_from = max(0, -shift)
                 width = min(len(a), len(b) - b_from)
                 agree = a[:width] == b[b_from : b_from + width]
-                start, end = _best_run(agree, spec.share)
+                start, end = _best_run(agree, share)
                 count = int(agree[start:end].sum())
-                if end > start and count >= min(spec.matches, -(-len(b) * spec.share // 1)):
+                if end > start and count >= min(spec.matches, math.ceil(len(b) * share)):
                     ids.append(batch.column("doc_id")[i].as_py())
                     items.append(batch.column("item_id")[i].as_py())
                     starts.append(max(0, shift) + start)
@@ -185,7 +198,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spec: LeakSpec = LeakSp
     ``share`` of the places agree and ``matches`` words in all (``share`` of the
     item's words, if that is less).  So single words may be replaced.
 
-    Each mask hashes five of eight consecutive words.  Training hashes first pass
+    Each mask hashes five of eight consecutive words, the last one five in a row.  Training hashes first pass
     a bit filter of fixed size, are then joined to the benchmark's hashes by
     shuffle, and every (document, item, distance) that they hit is compared word
     by word over the item's length.
@@ -199,6 +212,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spec: LeakSpec = LeakSp
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
         .where("item_id is not null")
         .mapInArrow(_scanner("item_id", None), "item_id long, " + columns)
+        .where(F.size("words") >= SPAN)
         .dropDuplicates(["item_id"])
     )
     targets = items.select("item_id", F.explode(F.arrays_zip("keys", "places")).alias("h")).select(

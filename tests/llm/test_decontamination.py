@@ -1,5 +1,6 @@
 """Benchmark passages: planted ones are found, clean documents are not."""
 
+import itertools
 import random
 
 from candlewick.llm.decontamination import contamination
@@ -57,3 +58,25 @@ def test_long_text(spark, docs_of, words):
     bench = spark.createDataFrame([(1, " ".join(item), "")], ITEMS)
     (row,) = contamination(docs_of([text]), bench).collect()
     assert (row.first_word, row.end_word) == (60_000, 60_050)
+
+
+def test_replaced_words_at_every_place_of_short_items(spark, docs_of, words):
+    items = [words[100 * n : 100 * n + n] for n in range(8, 18)]
+    docs, rule = [], set()
+    for item in items:
+        n = len(item)
+        need = min(13, -(-4 * n // 5))
+        for d in range(1, 4):
+            for places in itertools.combinations(range(n), d):
+                agree = [p not in places for p in range(n)]
+                if any(
+                    sum(agree[i:j]) >= need and 5 * sum(agree[i:j]) >= 4 * (j - i)
+                    for i in range(n)
+                    for j in range(i + need, n + 1)
+                ):
+                    rule.add((len(docs), n))
+                docs.append(" ".join(w if a else "changed" for w, a in zip(item, agree, strict=True)))
+    bench = spark.createDataFrame([(len(w), " ".join(w), "") for w in items], ITEMS)
+    rows = contamination(docs_of(docs), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == rule
+    assert all(5 * r.matched_words >= 4 * (r.end_word - r.first_word) for r in rows)
