@@ -85,8 +85,8 @@ TEMPLATES = (
 
 @dataclass(frozen=True)
 class LicenseSpec:
-    """rare: words of highest weight that are looked up for each file; share:
-    least share of a template's words in place."""
+    """rare: words of highest weight that are looked up in a file for each template;
+    share: least share of a template's words in place."""
 
     templates: tuple[Template, ...] = TEMPLATES
     rare: int = 8
@@ -178,12 +178,20 @@ def _notices(
     """Share of words in place of each template found; ``place`` and ``number``
     list the file's licence words."""
     distinct = np.unique(number)
-    rare = distinct[np.argsort(-weights[distinct], kind="stable")][: spec.rare]
+    ordered = distinct[np.argsort(-weights[distinct], kind="stable")]
+    # Each template has rare words of its own, so no other notice takes its votes.
+    left = [spec.rare] * len(index.templates)
     # Each posting of a rare word puts the template's first word at one place.
     votes: dict[tuple[int, int], int] = {}
-    for w in rare.tolist():
+    for w in ordered.tolist():
+        chosen = {t for t, _ in index.postings[w] if left[t]}
+        for t in chosen:
+            left[t] -= 1
+        postings = [(t, at) for t, at in index.postings[w] if t in chosen]
+        if not postings:
+            continue
         for p in place[number == w].tolist():
-            for template, at in index.postings[w]:
+            for template, at in postings:
                 votes[template, p - at] = votes.get((template, p - at), 0) + 1
     found: dict[int, float] = {}
     for (template, start), count in votes.items():
@@ -254,8 +262,8 @@ def scan_licenses(docs: DataFrame, spec: LicenseSpec = LicenseSpec()) -> DataFra
 
     Words are runs of letters and digits (bytes beyond ASCII included), A-Z
     lower-cased.  Base labels come from consecutive words.  The method looks up a
-    file's ``rare`` licence words of highest inverse document frequency, lets
-    their postings vote for where a template would start, and accepts a start at
+    file's ``rare`` words of highest inverse document frequency for each template,
+    lets their postings vote for where a template would start, and accepts a start at
     which ``share`` of the template's words are in place and one of its mandatory
     phrases stands among them.  score: 1 with a base label, else the best share.
 

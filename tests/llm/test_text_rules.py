@@ -52,6 +52,17 @@ def test_templates_are_found_in_place(docs_of, words):
     assert scan_licenses(plain.limit(0)).collect() == []
 
 
+def test_two_notices_in_one_file_are_both_found(docs_of):
+    texts, want = [], []
+    for one in TEMPLATES:
+        for two in TEMPLATES:
+            texts.append(f"{one.text} . {two.text}")
+            want.append({one.label, two.label})
+    rows = {r.doc_id: r for r in scan_licenses(docs_of(texts)).collect()}
+    for i, labels in enumerate(want):
+        assert labels <= set(rows[i].labels.split(",")), texts[i]
+
+
 def counts(text):
     text = text or ""
     found = re.findall(r"[^\x20\x09-\x0D]+", text)
