@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 import corpus_pipeline
@@ -61,3 +62,10 @@ def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert "pipeline" in contract.queries()
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "language_id"
+
+
+def test_texts_with_letters_stay_where_no_language_is_learned(spark, docs_of):
+    docs = docs_of(["some words here", "é", "12 34", "", None]).withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language_id(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1]
