@@ -69,3 +69,37 @@ SELECT conv_id, perspective, turn, speaker, role, segment, start,
   start + length(segment) AS "end"
 FROM placed
 """
+
+OP12_SQL = r"""
+WITH doc AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), piece AS (
+  SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(text, '[.,;:!?\n\x0B\f\r]')), '[^ \t]+') AS w FROM doc
+), gram AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM piece, (SELECT unnest(range(1, 6)) AS k))
+), f AS (
+  SELECT lang, g, k, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 100
+), total AS (
+  SELECT lang, sum(len(w)) AS n FROM piece GROUP BY lang
+), cand AS (
+  SELECT c.lang, c.g, c.k, c.f FROM f c WHERE c.k > 1 AND NOT EXISTS (
+    SELECT 1 FROM f b WHERE b.lang = c.lang AND b.k > c.k AND 100 * b.f >= 100 * c.f
+      AND contains(' ' || b.g || ' ', ' ' || c.g || ' '))
+), cut AS (
+  SELECT c.lang, c.g, c.f AS a, j, x.f AS l, y.f AS r, t.n,
+    (1000::HUGEINT * c.f * t.n) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM cand) c
+  JOIN f x ON x.lang = c.lang AND x.g = array_to_string(string_split(c.g, ' ')[1:j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.g = array_to_string(string_split(c.g, ' ')[j + 1:], ' ')
+  JOIN total t ON t.lang = c.lang
+), low AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank, g AS phrase,
+  CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n,
+  CAST(score AS BIGINT) AS score
+FROM low QUALIFY rank <= 2000
+"""

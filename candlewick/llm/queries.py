@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from candlewick.llm.chat import rotate_perspectives
+from candlewick.llm.collocations import collocations
 from candlewick.llm.decontamination import contamination
 from candlewick.llm.language import held_out, identify, train
 from candlewick.llm.licenses import scan_licenses
 from candlewick.llm.near_dedup import NearSpec, near_duplicates
 from candlewick.llm.packing import pack, public_vocabulary
-from candlewick.llm.oracles import OP7_SQL, OP9_SQL
+from candlewick.llm.oracles import OP7_SQL, OP9_SQL, OP12_SQL
 from candlewick.llm.passages import shared_passages
 from candlewick.llm.quality import clean_lines
 from candlewick.llm.repeats import without_repeated_bytes
@@ -110,6 +111,13 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder), NearSpec(width=3, percent=85))
 
 
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """Each language's 2,000 strongest phrases of two to five words.
+
+    Word, pair and gram counts are stored while the query is built."""
+    return collocations(documents(spark, folder))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -121,10 +129,12 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "pipeline": corpus_pipeline.run,
 }
 
 LLM_ORACLES: dict[str, str] = {
     "op7_url_filter": OP7_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op12_phrase_collocations": OP12_SQL,
 }
