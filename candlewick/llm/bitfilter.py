@@ -1,4 +1,5 @@
-"""Filters of fixed size over 64-bit keys: no key is missed, a few others pass."""
+"""Filters of fixed size over hashed keys (their lowest 40 bits count): no key is
+missed, a few others pass."""
 
 from __future__ import annotations
 
@@ -18,8 +19,8 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     bits = keys.select(
         F.explode(
             F.array(
-                F.shiftrightunsigned(key, 40),
-                F.shiftrightunsigned(key, 8).bitwiseAND(F.lit(FILTER_BITS - 1)),
+                F.shiftrightunsigned(key, 16).bitwiseAND(F.lit(FILTER_BITS - 1)),
+                key.bitwiseAND(F.lit(FILTER_BITS - 1)),
             )
         ).alias("bit")
     )
@@ -37,7 +38,7 @@ def _holds(table: np.ndarray, bit: np.ndarray) -> np.ndarray:
 
 def may_hold(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys (64-bit unsigned) the filter lets pass."""
-    out = _holds(table, keys >> U(40))
+    out = _holds(table, (keys >> U(16)) & U(FILTER_BITS - 1))
     at = np.flatnonzero(out)
-    out[at] = _holds(table, (keys[at] >> U(8)) & U(FILTER_BITS - 1))
+    out[at] = _holds(table, keys[at] & U(FILTER_BITS - 1))
     return out

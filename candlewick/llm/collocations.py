@@ -58,38 +58,58 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, Words, np.
             yield block, found, ids, follows, langs
 
 
-_WORDS = "lang string, id long, word string, f long"
+_WORDS = "lang string, id long, f long"
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each word; a row without word holds a language's words in all."""
+    """Occurrences of each word (lang null), and a row (id 0) of all words of a language."""
     for block, found, ids, _, langs in _scan(batches):
-        name, first, count = np.unique(ids, return_index=True, return_counts=True)
-        data = block.data.tobytes()
-        fold = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-        spelled = [
-            data[a:b].translate(fold).decode(errors="replace")
-            for a, b in zip(found.starts[first].tolist(), found.ends[first].tolist(), strict=True)
-        ]
-        owner = block.first + found.text_of()[first]
+        name, count = np.unique(ids, return_counts=True)
         of_lang: dict[str, int] = {}
         for i, n in enumerate(np.diff(found.first).tolist(), block.first):
             of_lang[langs[i]] = of_lang.get(langs[i], 0) + n
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([langs[i] for i in owner.tolist()] + list(of_lang), pa.string()),
+                pa.array([None] * len(name) + list(of_lang), pa.string()),
                 pa.array(np.concatenate([name.astype(np.int64), np.zeros(len(of_lang), np.int64)])),
-                pa.array(spelled + [None] * len(of_lang), pa.string()),
                 pa.array(np.concatenate([count, np.array(list(of_lang.values()), np.int64)])),
             ],
-            names=["lang", "id", "word", "f"],
+            names=["lang", "id", "f"],
         )
 
 
+def _spellings(wanted: Broadcast):
+    """Language and letters of the words that pass the filter ``wanted``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+        for block, found, ids, _, langs in _scan(batches):
+            at = np.flatnonzero(may_hold(wanted.value, ids))
+            name, first = np.unique(ids[at], return_index=True)
+            at = at[first]
+            owner = block.first + np.searchsorted(found.first, at, side="right") - 1
+            spelled = [
+                block.data[a:b].tobytes().translate(fold).decode(errors="replace")
+                for a, b in zip(found.starts[at].tolist(), found.ends[at].tolist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(name.astype(np.int64)),
+                    pa.array([langs[i] for i in owner.tolist()], pa.string()),
+                    pa.array(spelled, pa.string()),
+                ],
+                names=["id", "lang", "word"],
+            )
+
+    return run
+
+
 def _pair_keys(ids: np.ndarray) -> np.ndarray:
+    """Keys of 40 bits of each word and the next: pairs that share one are counted
+    together, so at worst a rare one passes."""
     factor = seeds(2, 41) | U(1)
     out = np.zeros(len(ids), U)
-    out[:-1] = mix(ids[:-1] * factor[0] + ids[1:] * factor[1])
+    out[:-1] = mix(ids[:-1] * factor[0] + ids[1:] * factor[1]) >> U(24)
     return out
 
 
@@ -147,17 +167,18 @@ def _columns(spec: PhraseSpec) -> list[str]:
 
 
 def phrase_counts(docs: DataFrame, spec: PhraseSpec) -> tuple[DataFrame, DataFrame]:
-    """Frequent words (lang, id, word, f; word null: all words of a language) and
-    frequent phrases of two words or more (gram: array of ids, f), both stored.
+    """Frequent words (lang null, id, f) with each language's number of words (lang,
+    id 0, f), and frequent phrases of two words or more (gram: array of ids, f), both stored.
 
     Only longest grams are counted in the texts: they are the edges of the graph,
     from the node of a gram's first words to that of its last.  The count of a
     shorter gram is what flows out of its node, plus the pieces that end with it.
+    Edges are dealt by their first words once, for all lengths of three words or more.
     """
-    counted = docs.mapInArrow(_word_counts, _WORDS).groupBy("lang", "id", "word").agg(F.sum("f").alias("f"))
-    frequent = settle(counted.where((F.col("f") >= spec.least) | F.col("word").isNull()))
+    counted = docs.mapInArrow(_word_counts, _WORDS).groupBy("id", "lang").agg(F.sum("f").alias("f"))
+    frequent = settle(counted.where((F.col("f") >= spec.least) | (F.col("id") == 0)))
     context = docs.sparkSession.sparkContext
-    heavy_words = context.broadcast(key_filter(frequent.where("word is not null").select(F.col("id").alias("key"))))
+    heavy_words = context.broadcast(key_filter(frequent.where("id != 0").select(F.col("id").alias("key"))))
     pairs = (
         docs.mapInArrow(_pair_counts(heavy_words), "key long, f long")
         .groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= spec.least)
@@ -165,16 +186,21 @@ def phrase_counts(docs: DataFrame, spec: PhraseSpec) -> tuple[DataFrame, DataFra
     heavy_pairs = context.broadcast(key_filter(pairs.select("key")))
     names = _columns(spec)
     schema = ", ".join(f"{c} long" for c in [*names, "f"])
-    edges = settle(
-        docs.mapInArrow(_edges(heavy_words, heavy_pairs, spec), schema).groupBy(*names).agg(F.sum("f").alias("f"))
-    )
-    levels, flow = [], edges
+    edges = docs.mapInArrow(_edges(heavy_words, heavy_pairs, spec), schema)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flow, levels = edges.repartition(parts, *names[:3]), []
     for k in range(spec.words, 1, -1):
-        if k < spec.words:  # rows that end at k words are the corrections for piece ends
-            flow = flow.groupBy(*names[:k]).agg(F.sum("f").alias("f"))
-        gram = F.array(*names[:k]).alias("gram")
-        levels.append(flow.where((F.col(names[k - 1]) != 0) & (F.col("f") >= spec.least)).select(gram, "f"))
-    return frequent, settle(reduce(DataFrame.unionByName, levels))
+        # Rows that end at k words are the corrections for piece ends.
+        flow = flow.groupBy(*names[:k]).agg(F.sum("f").alias("f"))
+        levels.append(flow)
+    # One row per gram and length, from one pass over the dealt edges.
+    frequent_of = [
+        level.where((F.col(names[k - 1]) != 0) & (F.col("f") >= spec.least)).select(
+            F.array(*names[:k]).alias("gram"), "f"
+        )
+        for k, level in zip(range(spec.words, 1, -1), levels, strict=True)
+    ]
+    return frequent, settle(reduce(DataFrame.unionByName, frequent_of))
 
 
 def _compacted(grams: DataFrame) -> DataFrame:
@@ -212,9 +238,13 @@ def collocations(docs: DataFrame, spec: PhraseSpec = PhraseSpec()) -> DataFrame:
     """
     docs = docs.select(F.col("lang").cast("string").alias("lang"), "text")
     frequent, grams = phrase_counts(docs, spec)
-    named = frequent.where("word is not null")
-    totals = frequent.where("word is null").select("lang", F.col("f").alias("n"))
+    totals = frequent.where("id = 0").select("lang", F.col("f").alias("n"))
     chosen = settle(_compacted(grams))
+    used = key_filter(chosen.select(F.explode("gram").alias("key")))
+    named = settle(
+        docs.mapInArrow(_spellings(docs.sparkSession.sparkContext.broadcast(used)), "id long, lang string, word string")
+        .groupBy("id", "lang", "word").count().drop("count")
+    )
     n = F.size("gram")
     cuts = chosen.select(
         "gram", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), n - 1)).alias("k")
@@ -222,7 +252,7 @@ def collocations(docs: DataFrame, spec: PhraseSpec = PhraseSpec()) -> DataFrame:
         "gram", "a", "k", F.slice("gram", F.lit(1), F.col("k")).alias("left"),
         F.slice("gram", F.col("k") + 1, n - F.col("k")).alias("right"),
     )
-    counts = grams.unionByName(named.select(F.array("id").alias("gram"), "f"))
+    counts = grams.unionByName(frequent.where("id != 0").select(F.array("id").alias("gram"), "f"))
     head = named.select(F.col("id").alias("head"), "lang").join(totals, "lang")
     scored = (
         cuts.join(counts.select(F.col("gram").alias("left"), F.col("f").alias("l")), "left")
