@@ -62,15 +62,16 @@ _WORDS = "lang string, id long, f long"
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each word (lang null), and a row (id 0) of all words of a language."""
+    """Occurrences of each word, and a row (id 0) of all words of a language."""
     for block, found, ids, _, langs in _scan(batches):
-        name, count = np.unique(ids, return_counts=True)
+        name, first, count = np.unique(ids, return_index=True, return_counts=True)
+        owner = block.first + np.searchsorted(found.first, first, side="right") - 1
         of_lang: dict[str, int] = {}
         for i, n in enumerate(np.diff(found.first).tolist(), block.first):
             of_lang[langs[i]] = of_lang.get(langs[i], 0) + n
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([None] * len(name) + list(of_lang), pa.string()),
+                pa.array([langs[i] for i in owner.tolist()] + list(of_lang), pa.string()),
                 pa.array(np.concatenate([name.astype(np.int64), np.zeros(len(of_lang), np.int64)])),
                 pa.array(np.concatenate([count, np.array(list(of_lang.values()), np.int64)])),
             ],
@@ -79,49 +80,60 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spellings(wanted: Broadcast):
-    """Language and letters of the words that pass the filter ``wanted``."""
+    """Letters of the words that pass the filter ``wanted``, once per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-        for block, found, ids, _, langs in _scan(batches):
-            at = np.flatnonzero(may_hold(wanted.value, ids))
-            name, first = np.unique(ids[at], return_index=True)
-            at = at[first]
-            owner = block.first + np.searchsorted(found.first, at, side="right") - 1
-            spelled = [
-                block.data[a:b].tobytes().translate(fold).decode(errors="replace")
-                for a, b in zip(found.starts[at].tolist(), found.ends[at].tolist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(name.astype(np.int64)),
-                    pa.array([langs[i] for i in owner.tolist()], pa.string()),
-                    pa.array(spelled, pa.string()),
-                ],
-                names=["id", "lang", "word"],
-            )
+        for batch in batches:
+            known: dict[int, str] = {}
+            for block, found, ids, _, _ in _scan(iter([batch])):
+                at = np.flatnonzero(may_hold(wanted.value, ids))
+                name, first = np.unique(ids[at], return_index=True)
+                at = at[first]
+                for key, a, b in zip(name.tolist(), found.starts[at].tolist(), found.ends[at].tolist(), strict=True):
+                    if key not in known:
+                        known[key] = block.data[a:b].tobytes().translate(fold).decode(errors="replace")
+            keys = np.array(list(known), U).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(known.values()), pa.string())], names=["id", "word"])
 
     return run
 
 
-def _pair_keys(ids: np.ndarray) -> np.ndarray:
-    """Keys of 40 bits of each word and the next: pairs that share one are counted
-    together, so at worst a rare one passes."""
-    factor = seeds(2, 41) | U(1)
+def _gram_keys(ids: np.ndarray, width: int) -> np.ndarray:
+    """Keys of 40 bits of the ``width`` words from each word on (0 where there are
+    fewer): grams that share one are counted together, so at worst a rare one passes."""
+    factor = seeds(width, 40 + width) | U(1)
     out = np.zeros(len(ids), U)
-    out[:-1] = mix(ids[:-1] * factor[0] + ids[1:] * factor[1]) >> U(24)
+    n = len(ids) - width + 1
+    if n > 0:
+        out[:n] = mix(sum(ids[k : n + k] * factor[k] for k in range(width))) >> U(24)
     return out
 
 
-def _pair_counts(frequent: Broadcast):
-    """Occurrences of pairs of neighbouring words that may both be frequent."""
+def _allowed(ids: np.ndarray, follows: np.ndarray, filters: list[np.ndarray], width: int) -> np.ndarray:
+    """Words from which on ``width`` words stand in one piece, all of whose words,
+    pairs and so on, as far as there are filters, may be frequent."""
+    ok = may_hold(filters[0], ids)
+    for k in range(2, width + 1):
+        # Both grams of one word less must do; the last link is the piece's.
+        longer = ok & follows if k == 2 else ok.copy()
+        longer[:-1] &= ok[1:]
+        longer[-1:] = False
+        if k <= len(filters):
+            at = np.flatnonzero(longer)
+            longer[at] = may_hold(filters[k - 1], _gram_keys(ids, k)[at])
+        ok = longer
+    return ok
+
+
+def _gram_counts(filters: list[Broadcast], width: int):
+    """Occurrences of the grams of ``width`` words whose parts may all be frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [f.value for f in filters]
         for _, _, ids, follows, _ in _scan(batches):
-            known = may_hold(frequent.value, ids)
-            both = follows.copy()
-            both[:-1] &= known[:-1] & known[1:]
-            key, count = np.unique(_pair_keys(ids)[both], return_counts=True)
+            keys = _gram_keys(ids, width)[_allowed(ids, follows, tables, width)]
+            key, count = np.unique(keys, return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.astype(np.int64)), pa.array(count.astype(np.int64))], names=["key", "f"]
             )
@@ -129,27 +141,23 @@ def _pair_counts(frequent: Broadcast):
     return run
 
 
-def _edges(frequent: Broadcast, pairs: Broadcast, spec: PhraseSpec):
+def _edges(filters: list[Broadcast], spec: PhraseSpec):
     """Longest grams: at each word the ``spec.words`` words from it on, fewer (the
-    rest zero) where the piece, cut at pairs that are not frequent, ends before.
+    rest zero) where the piece, cut at grams that are not frequent, ends before.
     Grams of one word are left out: words are counted already."""
     names = _columns(spec)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [f.value for f in filters]
         factor = seeds(spec.words, 43) | U(1)
         for _, _, ids, follows, _ in _scan(batches):
-            linked = follows.copy()
-            known = may_hold(frequent.value, ids)
-            linked[:-1] &= known[:-1] & known[1:]
-            at = np.flatnonzero(linked)
-            linked[at] = may_hold(pairs.value, _pair_keys(ids)[at])
-            at = np.flatnonzero(linked)
+            at = np.flatnonzero(_allowed(ids, follows, tables, 2))
             grams = np.zeros((len(at), spec.words), U)
-            grams[:, 0] = ids[at]
-            on = np.ones(len(at), bool)
-            for k in range(1, spec.words):
-                on = on & linked[np.minimum(at + k - 1, len(ids) - 1)]
-                grams[on, k] = ids[at[on] + k]
+            if len(at):
+                grams[:, 0], grams[:, 1] = ids[at], ids[at + 1]
+            for k in range(3, spec.words + 1):
+                on = np.flatnonzero(_allowed(ids, follows, tables, k)[at])
+                grams[on, k - 1] = ids[at[on] + k - 1]
             _, first, count = np.unique(
                 mix((grams * factor).sum(axis=1, dtype=U)), return_index=True, return_counts=True
             )
@@ -166,41 +174,37 @@ def _columns(spec: PhraseSpec) -> list[str]:
     return [f"w{k}" for k in range(1, spec.words + 1)]
 
 
+#: Lengths of grams that are counted ahead of the edges, to cut the pieces.
+_AHEAD = 3
+
+
 def phrase_counts(docs: DataFrame, spec: PhraseSpec) -> tuple[DataFrame, DataFrame]:
-    """Frequent words (lang null, id, f) with each language's number of words (lang,
-    id 0, f), and frequent phrases of two words or more (gram: array of ids, f), both stored.
+    """Frequent words (lang, id, f; id 0: all words of a language) and frequent
+    phrases of two words or more (gram: array of ids, f), both stored.
 
     Only longest grams are counted in the texts: they are the edges of the graph,
     from the node of a gram's first words to that of its last.  The count of a
     shorter gram is what flows out of its node, plus the pieces that end with it.
-    Edges are dealt by their first words once, for all lengths of three words or more.
     """
+    context = docs.sparkSession.sparkContext
     counted = docs.mapInArrow(_word_counts, _WORDS).groupBy("id", "lang").agg(F.sum("f").alias("f"))
     frequent = settle(counted.where((F.col("f") >= spec.least) | (F.col("id") == 0)))
-    context = docs.sparkSession.sparkContext
-    heavy_words = context.broadcast(key_filter(frequent.where("id != 0").select(F.col("id").alias("key"))))
-    pairs = (
-        docs.mapInArrow(_pair_counts(heavy_words), "key long, f long")
-        .groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= spec.least)
-    )
-    heavy_pairs = context.broadcast(key_filter(pairs.select("key")))
+    filters = [context.broadcast(key_filter(frequent.where("id != 0").select(F.col("id").alias("key"))))]
+    for width in range(2, min(_AHEAD, spec.words) + 1):
+        grams = docs.mapInArrow(_gram_counts(filters, width), "key long, f long").groupBy("key")
+        often = grams.agg(F.sum("f").alias("f")).where(F.col("f") >= spec.least)
+        filters = [*filters, context.broadcast(key_filter(often.select("key")))]
     names = _columns(spec)
     schema = ", ".join(f"{c} long" for c in [*names, "f"])
-    edges = docs.mapInArrow(_edges(heavy_words, heavy_pairs, spec), schema)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    flow, levels = edges.repartition(parts, *names[:3]), []
+    edges = docs.mapInArrow(_edges(filters, spec), schema)
+    flow = settle(edges.groupBy(*names).agg(F.sum("f").alias("f")))
+    levels = []
     for k in range(spec.words, 1, -1):
-        # Rows that end at k words are the corrections for piece ends.
-        flow = flow.groupBy(*names[:k]).agg(F.sum("f").alias("f"))
-        levels.append(flow)
-    # One row per gram and length, from one pass over the dealt edges.
-    frequent_of = [
-        level.where((F.col(names[k - 1]) != 0) & (F.col("f") >= spec.least)).select(
-            F.array(*names[:k]).alias("gram"), "f"
-        )
-        for k, level in zip(range(spec.words, 1, -1), levels, strict=True)
-    ]
-    return frequent, settle(reduce(DataFrame.unionByName, frequent_of))
+        if k < spec.words:  # rows that end at k words are the corrections for piece ends
+            flow = flow.groupBy(*names[:k]).agg(F.sum("f").alias("f"))
+        gram = F.array(*names[:k]).alias("gram")
+        levels.append(flow.where((F.col(names[k - 1]) != 0) & (F.col("f") >= spec.least)).select(gram, "f"))
+    return frequent, settle(reduce(DataFrame.unionByName, levels))
 
 
 def _compacted(grams: DataFrame) -> DataFrame:
@@ -229,22 +233,18 @@ def collocations(docs: DataFrame, spec: PhraseSpec = PhraseSpec()) -> DataFrame:
     occurrence lies in one longer phrase are left out.  Order: score, a (both
     descending), phrase.
 
-    A phrase is frequent only if its words and pairs of words are, so the texts are
-    cut there before grams are counted: two filters of fixed size, which let some
-    rare words through and stop no frequent one.
+    A phrase is frequent only if its words, pairs and triples of words are, so the
+    texts are cut at others before edges are counted: by filters of fixed size, which
+    let some rare ones through and stop no frequent one.
 
     Null lang counts as ``und``; null or empty texts have no words; repeated rows
     count each; extra columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("lang").cast("string").alias("lang"), "text")
     frequent, grams = phrase_counts(docs, spec)
+    singles = frequent.where("id != 0")
     totals = frequent.where("id = 0").select("lang", F.col("f").alias("n"))
-    chosen = settle(_compacted(grams))
-    used = key_filter(chosen.select(F.explode("gram").alias("key")))
-    named = settle(
-        docs.mapInArrow(_spellings(docs.sparkSession.sparkContext.broadcast(used)), "id long, lang string, word string")
-        .groupBy("id", "lang", "word").count().drop("count")
-    )
+    chosen = _compacted(grams)
     n = F.size("gram")
     cuts = chosen.select(
         "gram", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), n - 1)).alias("k")
@@ -252,8 +252,8 @@ def collocations(docs: DataFrame, spec: PhraseSpec = PhraseSpec()) -> DataFrame:
         "gram", "a", "k", F.slice("gram", F.lit(1), F.col("k")).alias("left"),
         F.slice("gram", F.col("k") + 1, n - F.col("k")).alias("right"),
     )
-    counts = grams.unionByName(frequent.where("id != 0").select(F.array("id").alias("gram"), "f"))
-    head = named.select(F.col("id").alias("head"), "lang").join(totals, "lang")
+    counts = grams.unionByName(singles.select(F.array("id").alias("gram"), "f"))
+    head = singles.select(F.col("id").alias("head"), "lang").join(totals, "lang")
     scored = (
         cuts.join(counts.select(F.col("gram").alias("left"), F.col("f").alias("l")), "left")
         .join(counts.select(F.col("gram").alias("right"), F.col("f").alias("r")), "right")
@@ -263,21 +263,25 @@ def collocations(docs: DataFrame, spec: PhraseSpec = PhraseSpec()) -> DataFrame:
         .withColumn("score", F.expr("above div below"))
         .groupBy("gram", "lang", "a", "n")
         .agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+        .select("gram", "lang", "a", "cut.l", "cut.r", "n", "cut.score")
     )
-    spelled = (
-        chosen.select("gram", F.posexplode("gram").alias("at", "id"))
-        .join(named.select("id", "word"), "id")
+    # A language's phrases are first ranked in parts, so that no task sorts all of
+    # them; equal ones all stay until they are spelled.
+    order = [F.desc("score"), F.desc("a")]
+    near = scored.withColumn("part", F.pmod(F.xxhash64("gram"), F.lit(64)))
+    for keys in (["lang", "part"], ["lang"]):
+        near = near.withColumn("at", F.rank().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("at") <= spec.top)
+    near = settle(near.drop("part", "at"))
+    used = docs.sparkSession.sparkContext.broadcast(key_filter(near.select(F.explode("gram").alias("key"))))
+    named = docs.mapInArrow(_spellings(used), "id long, word string").groupBy("id", "word").count().drop("count")
+    phrases = (
+        near.select("gram", F.posexplode("gram").alias("at", "id"))
+        .join(named, "id")
         .groupBy("gram")
         .agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("parts"))
         .select("gram", F.array_join(F.col("parts.word"), " ").alias("phrase"))
     )
-    rows = scored.join(spelled, "gram").select("lang", "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    # A language's phrases are first ranked in parts, so that no task sorts all of them.
-    part = F.pmod(F.xxhash64("phrase"), F.lit(64))
-    near = rows.withColumn("part", part).withColumn(
-        "rank", F.row_number().over(W.partitionBy("lang", "part").orderBy(*order))
+    ranked = near.join(phrases, "gram").withColumn(
+        "rank", F.row_number().over(W.partitionBy("lang").orderBy(*order, F.asc("phrase"))).cast("long")
     )
-    first = near.where(F.col("rank") <= spec.top).drop("part", "rank")
-    ranked = first.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long"))
     return ranked.where(F.col("rank") <= spec.top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
