@@ -103,3 +103,36 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g
   CAST(score AS BIGINT) AS score
 FROM low QUALIFY rank <= 2000
 """
+
+OP13_SQL = r"""
+WITH word AS (
+  SELECT doc_id, row_number() OVER () AS d,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL
+), whole AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM word WHERE len(w) > 0
+), asked AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark WHERE item_id IS NOT NULL)
+  GROUP BY ALL
+), posting AS (
+  SELECT d, doc_id, n, term, count(*) AS tf
+  FROM (SELECT d, doc_id, len(w) AS n, unnest(w) AS term FROM word)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM posting, whole GROUP BY term, n_docs
+), scored AS (
+  SELECT a.item_id, p.d, p.doc_id,
+    sum(a.times * w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (25 + (75 * p.n * n_docs) // n_words)))) AS score
+  FROM asked a JOIN posting p USING (term) JOIN weight w USING (term), whole
+  GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10
+"""

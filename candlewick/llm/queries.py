@@ -15,9 +15,10 @@ from candlewick.llm.language import held_out, identify, train
 from candlewick.llm.licenses import scan_licenses
 from candlewick.llm.near_dedup import NearSpec, near_duplicates
 from candlewick.llm.packing import pack, public_vocabulary
-from candlewick.llm.oracles import OP7_SQL, OP9_SQL, OP12_SQL
+from candlewick.llm.oracles import OP7_SQL, OP9_SQL, OP12_SQL, OP13_SQL
 from candlewick.llm.passages import shared_passages
 from candlewick.llm.quality import clean_lines
+from candlewick.llm.ranked_search import search
 from candlewick.llm.repeats import without_repeated_bytes
 from candlewick.llm.url_filter import filter_captures, url_keys
 
@@ -118,6 +119,13 @@ def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(documents(spark, folder))
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of each benchmark item.
+
+    The index and its counts are stored while the query is built."""
+    return search(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_language_id": op2_language_id,
@@ -130,6 +138,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_ranked_search": op13_ranked_search,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -137,4 +146,5 @@ LLM_ORACLES: dict[str, str] = {
     "op7_url_filter": OP7_SQL,
     "op9_chat_formatting": OP9_SQL,
     "op12_phrase_collocations": OP12_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
