@@ -141,15 +141,34 @@ def _gram_counts(filters: list[Broadcast], width: int):
     return run
 
 
+#: Distinct grams a task adds up before it hands them on.
+_HELD = 1 << 19
+
+
 def _edges(filters: list[Broadcast], spec: PhraseSpec):
     """Longest grams: at each word the ``spec.words`` words from it on, fewer (the
     rest zero) where the piece, cut at grams that are not frequent, ends before.
     Grams of one word are left out: words are counted already."""
     names = _columns(spec)
+    factor = seeds(spec.words, 43) | U(1)
+
+    def merged(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        whole, count = np.concatenate(grams), np.concatenate(counts)
+        _, first, at = np.unique(
+            mix((whole * factor).sum(axis=1, dtype=U)), return_index=True, return_inverse=True
+        )
+        total = np.zeros(len(first), np.int64)
+        np.add.at(total, at, count)
+        return whole[first], total
+
+    def rows(grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(np.ascontiguousarray(grams[:, k]).view(np.int64)) for k in range(spec.words)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(counts)], names=[*names, "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [f.value for f in filters]
-        factor = seeds(spec.words, 43) | U(1)
+        held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         for _, _, ids, follows, _ in _scan(batches):
             at = np.flatnonzero(_allowed(ids, follows, tables, 2))
             grams = np.zeros((len(at), spec.words), U)
@@ -158,14 +177,16 @@ def _edges(filters: list[Broadcast], spec: PhraseSpec):
             for k in range(3, spec.words + 1):
                 on = np.flatnonzero(_allowed(ids, follows, tables, k)[at])
                 grams[on, k - 1] = ids[at[on] + k - 1]
-            _, first, count = np.unique(
-                mix((grams * factor).sum(axis=1, dtype=U)), return_index=True, return_counts=True
-            )
-            kept = grams[first].astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(np.ascontiguousarray(kept[:, k])) for k in range(spec.words)), pa.array(count.astype(np.int64))],
-                names=[*names, "f"],
-            )
+            held.append(grams)
+            counts.append(np.ones(len(at), np.int64))
+            if sum(map(len, counts)) > 2 * _HELD:
+                grams, count = merged(held, counts)
+                held, counts = [grams], [count]
+                if len(count) > _HELD:
+                    yield rows(grams, count)
+                    held, counts = [], []
+        if held:
+            yield rows(*merged(held, counts))
 
     return run
 
