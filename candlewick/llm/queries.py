@@ -17,6 +17,8 @@ from candlewick.llm.near_dedup import NearSpec, near_duplicates
 from candlewick.llm.packing import pack, public_vocabulary
 from candlewick.llm.oracles import OP7_SQL, OP9_SQL, OP12_SQL, OP13_SQL
 from candlewick.llm.passages import shared_passages
+from candlewick.llm.personal_data import find_personal_data
+from candlewick.llm.personal_data import train as train_personal_data
 from candlewick.llm.quality import clean_lines
 from candlewick.llm.ranked_search import search
 from candlewick.llm.repeats import without_repeated_bytes
@@ -112,6 +114,14 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder), NearSpec(width=3, percent=85))
 
 
+def op11_pii_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents.
+
+    The field is fitted to a sample of them while the query is built."""
+    docs = documents(spark, folder)
+    return find_personal_data(docs, train_personal_data(docs))
+
+
 def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
     """Each language's 2,000 strongest phrases of two to five words.
 
@@ -137,6 +147,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_pii_spans": op11_pii_spans,
     "op12_phrase_collocations": op12_phrase_collocations,
     "op13_ranked_search": op13_ranked_search,
     "pipeline": corpus_pipeline.run,
