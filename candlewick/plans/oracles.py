@@ -472,6 +472,42 @@ def _qualified(exprs: str) -> list[str]:
     return [" * ".join(f"a.{f}" for f in e.split(" * ")) for e in exprs.split(", ")]
 
 
+def _stump(source: str, test_rows: int) -> str:
+    """Before each test row the one split of greatest gain over all features and bins."""
+    names = ("mean_7d", "std_7d", "return_7d", "momentum_7d", "volatility_7d")
+    level = ", ".join(
+        f"avg({c}) FILTER (NOT is_test) AS m{i}, stddev_samp({c}) FILTER (NOT is_test) AS s{i}" for i, c in enumerate(names)
+    )
+    bins = ", ".join(
+        f"CASE WHEN s{i} > 0 THEN least(greatest(floor(({c} - m{i}) / s{i} * 3.2 + 8), 0), 15) ELSE 8 END"
+        for i, c in enumerate(names)
+    )
+    prediction = """my + CASE WHEN NOT top > 1e-12 * s * s THEN s / n
+      WHEN own <= c THEN sl / nl ELSE (s - sl) / (n - nl) END"""
+    return with_(
+        [
+            *features(source),
+            *tail_steps(test_rows),
+            f"level AS (SELECT symbol, avg(close) FILTER (NOT is_test) AS my, {level} FROM split GROUP BY symbol)",
+            f"""binned AS (SELECT symbol, id, rn, is_test, close, close - my AS y, my,
+              unnest(range(0, 5)) AS f, unnest([{bins}]) AS bin FROM split JOIN level USING (symbol))""",
+            """cuts AS (SELECT t.symbol, t.id, t.f, c, t.bin AS own, t.close, t.my, count(*) AS n, sum(b.y) AS s,
+              count(*) FILTER (b.bin <= c) AS nl, coalesce(sum(b.y) FILTER (b.bin <= c), 0) AS sl
+              FROM binned t JOIN binned b ON t.is_test AND b.symbol = t.symbol AND b.f = t.f AND b.rn < t.rn,
+                range(0, 15) g(c) GROUP BY ALL)""",
+            """gains AS (SELECT *, CASE WHEN nl > 0 AND nl < n
+              THEN sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n ELSE '-inf'::DOUBLE END AS gain FROM cuts)""",
+            "tops AS (SELECT *, max(gain) OVER (PARTITION BY symbol, id) AS top FROM gains)",
+            """chosen AS (SELECT * FROM tops WHERE gain >= top - 1e-9 * abs(top)
+              QUALIFY row_number() OVER (PARTITION BY symbol, id ORDER BY f, c) = 1)""",
+        ],
+        f"""SELECT symbol, id AS event_id, close, 'DecisionStump' AS strategy, {r(prediction, 7, 'prediction')}
+          FROM chosen""",
+    )
+
+
+ORACLES["walk_forward_stump"] = _stump(WIDE, SHORT_TAIL)
+ORACLES["estimator_in_sample"] = ORACLES["ols_in_sample"]
 ORACLES["walk_forward_linear"] = _walk_forward(WIDE, SHORT_TAIL, (1,), 3)
 ORACLES["walk_forward_polynomial"] = _walk_forward(PRICES, LONG_TAIL, (1, 2), 2)
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from candlewick.config import MODEL_FEATURES
 from candlewick.functions.rounding import round_half_even, run_timestamp, sanitize_symbol
 from candlewick.operators import backtest as bt
-from candlewick.operators import charts, features, inference, models, reports, stats
+from candlewick.operators import charts, features, inference, models, neural, nonlinear, reports, stats
+from candlewick.operators.estimator import LeastSquaresRegressor
 from candlewick.operators.features import FEATURES
 from candlewick.operators.layout import Layout
 from candlewick.plans import workflows
@@ -358,10 +359,7 @@ def model_comparison(spark, sf):
 
 @query
 def model_quality(spark, sf):
-    scored = workflows.model_quality(
-        prices(spark, sf), degrees=(1, 2, 3), trees=("DecisionTreeRegressor",)
-    )
-    return rounded(scored, 4)
+    return rounded(workflows.model_quality(prices(spark, sf)), 4)
 
 
 @query
@@ -385,6 +383,43 @@ def walk_forward_polynomial(spark, sf):
     return rounded(out.select("symbol", "event_id", "close", "strategy", "prediction"), 2)
 
 
+def _stepwise(source: DataFrame, tail_rows: int, trees: tuple[str, ...]) -> DataFrame:
+    history = nonlinear.binned_history(models.test_frame(source, tail_rows))
+    out = nonlinear.walk_forward_trees(history, trees)
+    return out.select("symbol", "event_id", "close", "strategy", "prediction")
+
+
+@query
+def walk_forward_stump(spark, sf):
+    return rounded(_stepwise(prices_wide(spark, sf), SHORT_TAIL, ("DecisionStump",)), 7)
+
+
+@query
+def walk_forward_trees(spark, sf):
+    """Deep and boosted trees; the oracle of ``walk_forward_stump`` covers one split."""
+    trees = ("DecisionTreeRegressor", "GradientBoostingRegressor")
+    return rounded(_stepwise(prices(spark, sf), LONG_TAIL, trees), 2)
+
+
+# -- neural regressor, estimator -----------------------------------------------------
+@query
+def neural_regressor(spark, sf):
+    return rounded(neural.in_sample_neural(_matrix(spark, sf)), 3)
+
+
+@query
+def kfold_neural(spark, sf):
+    return rounded(neural.kfold_neural(_matrix(spark, sf), models.fold_of("event_id"), 5), 3)
+
+
+@query
+def estimator_in_sample(spark, sf):
+    """The linear model as a fitted Spark ML stage."""
+    matrix = _matrix(spark, sf)
+    fitted = LeastSquaresRegressor().fit(matrix).transform(matrix)
+    return rounded(fitted.select("symbol", "event_id", "close", F.lit("LinearRegression").alias("strategy"), "prediction"), 4)
+
+
 # -- backtest ------------------------------------------------------------------------
 def _predicted(source: DataFrame, tail_rows: int) -> tuple[DataFrame, DataFrame]:
     """Predictions of the naive and the one-feature strategies, and the tail."""

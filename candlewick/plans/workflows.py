@@ -20,7 +20,7 @@ from candlewick.config import (
     SeriesSpec,
 )
 from candlewick.operators import backtest as bt
-from candlewick.operators import charts, inference, models, reports, stats
+from candlewick.operators import charts, inference, models, nonlinear, reports, stats
 from candlewick.operators.features import model_matrix, rolling_features
 from candlewick.storage import settle
 from candlewick.sources.csv import scan_banner_csv
@@ -130,15 +130,21 @@ def predict(
     target: str = "close",
     min_train: int = MIN_TRAIN_ROWS,
     drop_any: bool = False,
+    trees: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """(predictions, test rows).  The price history is read once and folded into
-    one stored row per series; both results read only that."""
+    one stored row per series; both results read only that.  Tree regressors read
+    it once more, as binned cells."""
     frame = models.test_frame(
         prices, test_days, min_train, spec, target=target, drop_any=drop_any
     )
     history = settle(models.fold_history(frame, max(degrees, default=1), spec))
     tail = models.test_rows(history, spec).select(*spec.keys, *spec.order, spec.value)
-    return predictions(history, degrees, simple, spec), tail
+    predicted = predictions(history, degrees, simple, spec)
+    if trees:
+        binned = settle(nonlinear.binned_history(frame, spec))
+        predicted = predicted.unionByName(nonlinear.walk_forward_trees(binned, trees, spec))
+    return predicted, tail
 
 
 def backtest(
@@ -151,11 +157,13 @@ def backtest(
     spec: SeriesSpec = SeriesSpec(),
     target: str = "close",
     min_train: int = MIN_TRAIN_ROWS,
+    trees: Sequence[str] = ("GradientBoostingRegressor",),
 ) -> dict[str, DataFrame]:
-    """All symbols and strategies in one plan."""
+    """All symbols and strategies in one plan; linear, polynomial and tree models are
+    refitted before each test row."""
     chosen = stats.filter_symbols(prices, symbols or None)
     predicted, tail = predict(
-        chosen, degrees, simple, test_days, spec, target, min_train, drop_any=True
+        chosen, degrees, simple, test_days, spec, target, min_train, drop_any=True, trees=trees
     )
     skipped = models.skipped_series(chosen, test_days, min_train, spec, drop_any=True)
     return {
