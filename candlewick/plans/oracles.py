@@ -501,7 +501,7 @@ def _stump(source: str, test_rows: int) -> str:
             """chosen AS (SELECT * FROM tops WHERE gain >= top - 1e-9 * abs(top)
               QUALIFY row_number() OVER (PARTITION BY symbol, id ORDER BY f, c) = 1)""",
         ],
-        f"""SELECT symbol, id AS event_id, close, 'DecisionStump' AS strategy, {r(prediction, 7, 'prediction')}
+        f"""SELECT symbol, id AS event_id, close, 'DecisionStump' AS strategy, {r(prediction, 9, 'prediction')}
           FROM chosen""",
     )
 

@@ -391,7 +391,7 @@ def _stepwise(source: DataFrame, tail_rows: int, trees: tuple[str, ...]) -> Data
 
 @query
 def walk_forward_stump(spark, sf):
-    return rounded(_stepwise(prices_wide(spark, sf), SHORT_TAIL, ("DecisionStump",)), 7)
+    return rounded(_stepwise(prices_wide(spark, sf), SHORT_TAIL, ("DecisionStump",)), 9)
 
 
 @query
