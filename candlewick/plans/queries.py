@@ -469,7 +469,8 @@ def capital_curve(spark, sf):
 
 @query
 def backtest_end_to_end(spark, sf):
-    results = workflows.backtest(prices(spark, sf), simple=True)
+    trees = ("GradientBoostingRegressor",)
+    results = workflows.backtest(prices(spark, sf), simple=True, trees=trees)
     return results["consolidated"]
 
 

@@ -157,10 +157,10 @@ def backtest(
     spec: SeriesSpec = SeriesSpec(),
     target: str = "close",
     min_train: int = MIN_TRAIN_ROWS,
-    trees: Sequence[str] = ("GradientBoostingRegressor",),
+    trees: Sequence[str] = (),
 ) -> dict[str, DataFrame]:
-    """All symbols and strategies in one plan; linear, polynomial and tree models are
-    refitted before each test row."""
+    """All symbols and strategies in one plan; linear, polynomial and the named tree
+    models are refitted before each test row."""
     chosen = stats.filter_symbols(prices, symbols or None)
     predicted, tail = predict(
         chosen, degrees, simple, test_days, spec, target, min_train, drop_any=True, trees=trees
