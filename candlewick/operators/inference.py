@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.config import EXPECTED_RETURN, SIGNIFICANCE
-from candlewick.functions.distributions import f_survival, student_t_two_sided
+from candlewick.functions.distributions import f_survival, register, student_t_two_sided
 from candlewick.operators.ordering import median_of, numbered
+from candlewick.storage import settle
 
 COMBO = ("symbol", "strategy")
 
@@ -37,6 +38,8 @@ SPLITS = {
 }
 
 _INFINITY = float("inf")
+# Pairwise tests: groups per block, and pairs of blocks per task.
+_BLOCK, _BLOCKS_PER_TASK = 256, 4
 
 
 def invested(daily: DataFrame) -> DataFrame:
@@ -87,6 +90,7 @@ def ttest_one_sample(
     significance: float = SIGNIFICANCE,
 ) -> DataFrame:
     """Left-tailed test of the mean return against ``expected_return`` percent."""
+    register(stats.sparkSession)
     gap = F.col("mean") - F.lit(expected_return / 100)
     error = F.sqrt(F.try_divide(F.col("variance"), F.col("n")))
     tested = stats.withColumn("t_stat", _t_value(gap, error))
@@ -112,6 +116,7 @@ def ttest_one_sample(
 # -- ANOVA -----------------------------------------------------------------------
 def _f_test(groups: DataFrame, significance: float) -> DataFrame:
     """One row from groups (n, mean, variance, combos) with n > 1."""
+    register(groups.sparkSession)
     n, mean = F.col("n"), F.col("mean")
     sums = groups.agg(
         F.count(F.lit(1)).alias("k"),
@@ -251,21 +256,27 @@ def pairwise_ttest(
     """Independent two-sample t-test (pooled variance, two-sided) for every
     unordered pair of groups, earlier group first.
 
-    The pairs are the result, so their number is what was asked for; each group
-    lists the numbers of its later partners and finds them by an equi-join.
+    The pairs are the result, so their number is what was asked for.  Groups lie
+    in blocks by their number, and each block meets itself and every later one
+    under a key of their own: a group is sent once per block, not once per pair,
+    and no task holds more than a few blocks' pairs.
     """
-    placed = numbered(groups.withColumn("label", label), order, "ord").withColumn(
-        "ord", F.col("ord").cast("int")
-    )
-    k = placed.agg(F.max("ord")).scalar()
-    left = placed.withColumn("k", k).where(F.col("ord") < F.col("k")).select(
-        F.explode(F.sequence(F.col("ord") + 1, F.col("k"))).alias("ord2"),
-        *[F.col(c).alias(f"{c}1") for c in ("ord", "label", "n", "mean", "variance")],
-    )
-    right = placed.select(
-        *[F.col(c).alias(f"{c}2") for c in ("ord", "label", "n", "mean", "variance")]
-    )
-    pairs = left.join(right, "ord2")
+    register(groups.sparkSession)
+    placed = settle(numbered(groups.withColumn("label", label), order, "ord").select(
+        F.col("ord").cast("int").alias("ord"), "label", "n", "mean", "variance"
+    ))
+    last = (placed.count() - 1) // _BLOCK
+    tasks = max(1, (last + 1) * (last + 2) // 2 // _BLOCKS_PER_TASK)
+    block = F.expr(f"(ord - 1) div {_BLOCK}").cast("int")
+
+    def side(i: int, own: str, others: str, start: Column, end: Column) -> DataFrame:
+        columns = [F.col(c).alias(f"{c}{i}") for c in ("ord", "label", "n", "mean", "variance")]
+        dealt = placed.select(block.alias(own), F.explode(F.sequence(start, end)).alias(others), *columns)
+        return dealt.repartition(tasks, "block1", "block2")
+
+    left = side(1, "block1", "block2", block, F.lit(int(last)))
+    right = side(2, "block2", "block1", F.lit(0), block)
+    pairs = left.join(right, ["block1", "block2"]).where(F.col("ord1") < F.col("ord2"))
     df = F.col("n1") + F.col("n2") - 2
     pooled = ((F.col("n1") - 1) * F.col("variance1") + (F.col("n2") - 1) * F.col("variance2")) / df
     error = F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2")))

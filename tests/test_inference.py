@@ -4,9 +4,10 @@ import math
 import numpy as np
 import pytest
 
-from candlewick.functions.distributions import f_upper, regularized_beta, t_two_sided
+from candlewick.functions.distributions import f_survival, register, student_t_two_sided
 from candlewick.operators import inference, reports
 from candlewick.plans.workflows import analyse_returns
+from tails import f_upper, regularized_beta, t_two_sided
 
 SCHEMA = "symbol string, strategy string, return_pct double, investment_made string"
 
@@ -137,3 +138,52 @@ def test_reports_follow_significance(spark):
     assert "Total de comparações realizadas: 1" in text
     assert "tem retorno médio MENOR que" in text
     assert lines[-2]["line"] == reports.DONE
+
+
+def test_sql_tails_equal_the_numerical_ones(spark):
+    register(spark)
+    rng = np.random.default_rng(4)
+    t = rng.normal(0, 1, 800) * 10 ** rng.uniform(-3, 1.2, 800)
+    df = np.floor(10 ** rng.uniform(0, 9.5, 800))
+    d1, d2 = np.floor(10 ** rng.uniform(0, 5, 800)), np.floor(10 ** rng.uniform(0, 7, 800))
+    f = np.exp(rng.normal(0, 1, 800) * rng.choice([0.01, 0.3, 2], 800))
+    rows = [tuple(map(float, r)) for r in zip(t, df, f, d1, d2)]
+    table = spark.createDataFrame(rows, "t double, df double, f double, d1 double, d2 double")
+    got = table.select(student_t_two_sided("t", "df"), f_survival("f", "d1", "d2")).collect()
+    assert [r[0] for r in got] == pytest.approx(t_two_sided(t, df), rel=1e-7, abs=1e-9)
+    assert [r[1] for r in got] == pytest.approx(f_upper(f, d1, d2), rel=1e-7, abs=1e-9)
+
+
+def test_sql_tails_at_their_ends(spark):
+    register(spark)
+    row = spark.sql("""
+        SELECT student_t_two_sided(double('-infinity'), 3D) AS a, student_t_two_sided(0D, 3D) AS b,
+            f_survival(double('infinity'), 2D, 3D) AS c, f_survival(0D, 2D, 3D) AS d,
+            student_t_two_sided(double('nan'), 3D) AS e, student_t_two_sided(1D, 0D) AS f,
+            student_t_two_sided(null, 3D) AS g, student_t_two_sided(1D, null) AS h,
+            f_survival(null, 2D, 3D) AS i, f_survival(1D, 0D, 3D) AS j, f_survival(1D, 2D, null) AS k
+    """).first()
+    assert tuple(row)[:4] == (0.0, 1.0, 0.0, 1.0)
+    assert tuple(row)[4:] == (None,) * 7
+
+
+def test_no_python_in_the_plans(spark):
+    stats = stats_of(spark, random_groups(5))
+    for tested in (
+        inference.ttest_one_sample(stats),
+        inference.anova_individual(stats),
+        inference.anova_grouped(stats),
+        inference.posthoc_individual(stats),
+    ):
+        plan = tested._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_pairs_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(inference, "_BLOCK", 4)
+    monkeypatch.setattr(inference, "_BLOCKS_PER_TASK", 2)
+    groups = {(f"S{i:02}", "A"): [float(i), i + 1.0] for i in range(21)}
+    got = inference.posthoc_individual(stats_of(spark, groups)).collect()
+    assert sorted((r["ord1"], r["ord2"]) for r in got) == list(itertools.combinations(range(1, 22), 2))
+    assert all(r["mean_diff"] == pytest.approx(r["ord1"] - r["ord2"]) for r in got)
+    assert inference.posthoc_individual(stats_of(spark, {("A", "x"): [1]})).count() == 0
