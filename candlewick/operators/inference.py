@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from candlewick.config import EXPECTED_RETURN, SIGNIFICANCE
 from candlewick.functions.distributions import f_survival, register, student_t_two_sided
 from candlewick.operators.ordering import median_of, numbered
-from candlewick.storage import settle
 
 COMBO = ("symbol", "strategy")
 
@@ -262,9 +261,9 @@ def pairwise_ttest(
     and no task holds more than a few blocks' pairs.
     """
     register(groups.sparkSession)
-    placed = settle(numbered(groups.withColumn("label", label), order, "ord").select(
+    placed = numbered(groups.withColumn("label", label), order, "ord").select(
         F.col("ord").cast("int").alias("ord"), "label", "n", "mean", "variance"
-    ))
+    )
     last = (placed.count() - 1) // _BLOCK
     tasks = max(1, (last + 1) * (last + 2) // 2 // _BLOCKS_PER_TASK)
     block = F.expr(f"(ord - 1) div {_BLOCK}").cast("int")

@@ -8,18 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from candlewick.config import slice_rows
 from candlewick.storage import settle
 
 
 def numbered(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """Add the 1-based position in ``order`` as the long column ``name``.
 
-    Rows are range-partitioned by the order and stored, numbered inside their
-    partition, and moved on by the sizes of the partitions before.  Only those
-    sizes, one row per partition, come together.
+    Rows are stored.  As many as fit a slice are numbered by one sort.  More are
+    range-partitioned by the order, numbered inside their partition, and moved on
+    by the sizes of the partitions before; only those sizes, one row per
+    partition, come together.
     """
+    stored = settle(df)
+    if stored.count() <= slice_rows(df.sparkSession):
+        return stored.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long"))
     part, before = f"{name}__part", f"{name}__before"
-    placed = settle(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    placed = settle(stored.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
     sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias(before))
     earlier = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(part, F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before))

@@ -6,6 +6,7 @@ import pytest
 
 from candlewick.functions.distributions import f_survival, register, student_t_two_sided
 from candlewick.operators import inference, reports
+from candlewick.operators.ordering import median_of, numbered
 from candlewick.plans.workflows import analyse_returns
 from tails import f_upper, regularized_beta, t_two_sided
 
@@ -187,3 +188,16 @@ def test_pairs_over_many_blocks(spark, monkeypatch):
     assert sorted((r["ord1"], r["ord2"]) for r in got) == list(itertools.combinations(range(1, 22), 2))
     assert all(r["mean_diff"] == pytest.approx(r["ord1"] - r["ord2"]) for r in got)
     assert inference.posthoc_individual(stats_of(spark, {("A", "x"): [1]})).count() == 0
+
+
+def test_numbers_and_medians_alike_in_many_partitions(spark):
+    values = spark.createDataFrame([(float(v),) for v in (3, 1, 4, 1, 5, 9, 2, 6)], "v double")
+    small = numbered(values, ["v"], "at").collect()
+    median = values.select(median_of(values, "v")).first()[0]
+    spark.conf.set("spark.candlewick.sliceRows", "3")
+    try:
+        large = numbered(values, ["v"], "at").collect()
+        assert values.select(median_of(values, "v")).first()[0] == median == 3.5
+    finally:
+        spark.conf.unset("spark.candlewick.sliceRows")
+    assert sorted((r["at"], r["v"]) for r in small) == sorted((r["at"], r["v"]) for r in large)
