@@ -104,3 +104,32 @@ def test_blank_lines_nan_and_odd_line_ends(spark, tmp_path):
     write(tmp_path, "b.csv", "site\r\nsymbol,close\r\nC,2\r\n")
     got = {r["symbol"]: (r["close"], r["note"]) for r in scan_banner_csv(spark, str(tmp_path)).collect()}
     assert got == {"A": (1.5, "x y"), "B": (None, "z"), "C": (2.0, None)}
+
+
+def test_repeated_runs_leave_each_row_once(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    schema = "symbol string, v int"
+    first = spark.createDataFrame([("A", 1), ("B", 2), ("B", 2), ("007", 7), (None, 0)], schema)
+    second = spark.createDataFrame([("A", 10), ("A", 11)], schema)
+    for run, rows in [("20240101", first), ("20240102", second), ("20240101", first), ("20240102", second)]:
+        sinks.append_run(rows, path, run)
+    rows = sinks.read_runs(spark, path).select("run", "symbol", "v").collect()
+    assert len(rows) == 7
+    latest = sinks.latest_runs(spark, path).select("symbol", "v").collect()
+    key = lambda r: (r[0] or "", r[1])
+    want = [(None, 0), ("007", 7), ("A", 10), ("A", 11), ("B", 2), ("B", 2)]
+    assert sorted(map(tuple, latest), key=key) == want
+    with pytest.raises(ValueError):
+        sinks.append_run(first, path, "")
+
+
+def test_failed_run_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    good = spark.createDataFrame([("A", 1), ("B", 2)], "symbol string, v int")
+    sinks.append_run(good, path, "r1")
+    broken = good.selectExpr("symbol", "if(symbol = 'B', raise_error('lost'), v + 1) AS v")
+    with pytest.raises(Exception, match="lost"):
+        sinks.append_run(broken, path, "r1")
+    assert sorted(map(tuple, sinks.latest_runs(spark, path).select("symbol", "v").collect())) == [("A", 1), ("B", 2)]
+    sinks.append_run(good, path, "r1")
+    assert sinks.read_runs(spark, path).count() == 2
