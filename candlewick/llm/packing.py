@@ -254,7 +254,7 @@ def _placer(capacity: int, squares: bool):
         rows["offset"] = np.array(offset, np.int64)
         filled = rows.groupby("sequence_id")["length"].transform("sum")
         rows["full"] = (filled == capacity).to_numpy()
-        return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "full"]]
+        return rows[["doc_id", "piece", "start", "length", "ids_crc32", "row", "sequence_id", "offset", "full"]]
 
     return run
 
@@ -265,7 +265,7 @@ def pack(
     """Row per piece of a document: doc_id, piece, start, length, ids_crc32,
     sequence_id, offset (gapless from 0 in its sequence).
 
-    Pieces are dealt at random (by hash) into groups of about 4,096.  A group is
+    Pieces are numbered, stored and dealt at random (by hash) into groups of about 4,096.  A group is
     placed longest first by the sum-of-squares rule, which keeps the counts of
     open sequences per fill level even so that most of them close exactly full.
     Those stay.  The documents of sequences left unfilled are dealt into new
@@ -274,21 +274,23 @@ def pack(
 
     Null or empty text: one piece of length 1, ``end`` alone.  Longer documents
     are cut only at multiples of ``capacity``.  Repeated rows are packed once
-    each; a null doc_id is kept; other columns are ignored.  An empty table gives
+    each and, however many, spread over all groups; a null doc_id is kept; other columns are ignored.  An empty table gives
     an empty one.
     """
-    pieces = settle(token_pieces(docs, vocabulary, capacity, end))
-    placed = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, full boolean"
+    pieces = token_pieces(docs, vocabulary, capacity, end)
+    # Stored, so the numbers stay the same whatever is computed again.
+    pieces = settle(pieces.withColumn("row", F.monotonically_increasing_id()))
+    placed = "doc_id long, piece int, start long, length long, ids_crc32 long, row long, sequence_id long, offset long, full boolean"
 
     def place(rows: DataFrame, first: int, squares: bool) -> tuple[DataFrame, int]:
         groups = rows.count() // GROUP + 1
         salt = F.lit(0 if squares else 1)
-        # The row itself is the key: copies of a row are few, or spread by their text's length.
-        bucket = F.pmod(F.xxhash64(salt, "doc_id", "piece", "ids_crc32"), F.lit(groups)) + first
+        # By its number, so that equal rows are spread as well.
+        bucket = F.pmod(F.xxhash64(salt, "row"), F.lit(groups)) + first
         dealt = rows.withColumn("bucket", bucket).groupBy("bucket")
         return dealt.applyInPandas(_placer(capacity, squares), placed), first + groups
 
     first, after = place(pieces, 0, squares=True)
     first = settle(first)
     rest, _ = place(first.where("not full").select(*pieces.columns), after, squares=False)
-    return first.where("full").unionByName(rest).drop("full")
+    return first.where("full").unionByName(rest).drop("row", "full")

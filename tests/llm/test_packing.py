@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from candlewick.llm.packing import OpenBins, WordEncoder, pack, public_vocabulary, token_pieces
+from candlewick.llm.packing import GROUP, OpenBins, WordEncoder, pack, public_vocabulary, token_pieces
 
 
 @pytest.fixture(scope="module")
@@ -63,6 +63,14 @@ def test_repeated_rows_null_ids_and_empty_tables(docs_of):
     assert pack(docs.limit(0), public_vocabulary).collect() == []
 
 
+def test_equal_rows_are_spread(docs_of):
+    docs = docs_of([(None, "a b")]).selectExpr("doc_id", "text", "explode(sequence(1, 20000)) AS n")
+    rows = pack(docs, public_vocabulary, capacity=63).toPandas()
+    assert len(rows) == 20000 and not rows[["sequence_id", "offset"]].duplicated().any()
+    assert (rows["sequence_id"] // 2**32).value_counts().max() < 1.5 * GROUP
+    assert rows["sequence_id"].nunique() <= 1.01 * -(-rows["length"].sum() // 63)
+
+
 def test_the_rule_takes_the_least_sum_of_squares():
     made = random.Random(2)
     bins = OpenBins(20)
