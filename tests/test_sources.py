@@ -99,6 +99,55 @@ def test_describe_gives_every_table(spark):
     assert describe(prices, ["S1"])["summary_statistics"].count() == 1
 
 
+def test_twenty_layouts_in_one_scan(spark, tmp_path):
+    want = {}
+    for n in range(20):
+        extra = [f"x{n}"] * (n % 3)  # repeated names are numbered
+        names = ["symbol", "close", *extra] if n % 2 else ["close", *extra, "symbol"]
+        for copy in range(2):
+            symbol = f"S{n}_{copy}"
+            cells = {"symbol": symbol, "close": str(n + copy)}
+            row = [cells.get(c, f"{c},{i}") for i, c in enumerate(names)]
+            line = ",".join(f'"{v}"' for v in row)
+            banner = "" if copy else line  # a blank banner, and one that looks like a row
+            write(tmp_path, f"{n:02d} {copy}.csv", f"{banner}\n{','.join(names)}\n{line}\n{line}\n")
+            want[symbol] = float(n + copy), [v for v in row if "," in v]
+    write(tmp_path, "empty.csv", "")
+    write(tmp_path, "only a banner.csv", "site\n")
+    got = scan_banner_csv(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1 and "Python" not in plan and "Union" not in plan
+    rows = got.collect()
+    assert len(rows) == 80 and {r["symbol"] for r in rows} == set(want)
+    for r in rows:
+        close, extra = want[r["symbol"]]
+        assert r["close"] == close
+        assert [v for c, v in r.asDict().items() if c[0] == "x" and v is not None] == extra
+
+
+def test_large_files_in_many_splits(spark, tmp_path):
+    body = "".join(f"S{i % 7},{i}.5\n" for i in range(20_000))
+    write(tmp_path, "a.csv", f"site\n\nsymbol,close\n{body}")
+    write(tmp_path, "b.csv", "site\nclose,symbol,note\n1,B,z\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "20000")
+    try:
+        got = scan_banner_csv(spark, str(tmp_path))
+        assert got.rdd.getNumPartitions() > 5
+        assert got.count() == 20_001
+        assert got.where("symbol = 'B'").first()["note"] == "z"
+        assert got.agg({"close": "sum"}).first()[0] == sum(i + 0.5 for i in range(20_000)) + 1
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_files_without_header_only(spark, tmp_path):
+    write(tmp_path, "a.csv", "site\n\n")
+    with pytest.raises(ValueError):
+        scan_banner_csv(spark, str(tmp_path))
+
+
 def test_blank_lines_nan_and_odd_line_ends(spark, tmp_path):
     write(tmp_path, "a.csv", "site\n\n \nsymbol,close,note\nA,1.5,x y\n\nB,NaN,z\n")
     write(tmp_path, "b.csv", "site\r\nsymbol,close\r\nC,2\r\n")
