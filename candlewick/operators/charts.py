@@ -22,7 +22,7 @@ def histogram(prices: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins per symbol; the last bin includes its upper edge.  A
     constant series gets bins of total width one around its value.  Empty bins
     are listed with count 0."""
-    rows, _ = with_quantiles(prices, ("symbol",), "close", {})
+    rows = with_quantiles(prices, ("symbol",), "close", {})
     flat = F.col("low") == F.col("high")
     rows = rows.withColumns(
         {
@@ -60,7 +60,7 @@ def histogram(prices: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
 def boxplot_statistics(prices: DataFrame) -> DataFrame:
     """Quartiles, whiskers (most extreme values within 1.5 IQR of the box) and
     the number of rows beyond them."""
-    rows, _ = with_quantiles(
+    rows = with_quantiles(
         prices, ("symbol",), "close", {"q1": 0.25, "median": 0.5, "q3": 0.75}
     )
     reach = 1.5 * (F.col("q3") - F.col("q1"))

@@ -35,6 +35,70 @@ def test_description_equals_numpy(spark):
             assert r["std_dev"] is None
 
 
+@pytest.fixture()
+def small_slices(spark):
+    spark.conf.set("spark.candlewick.sliceRows", "50")
+    yield
+    spark.conf.unset("spark.candlewick.sliceRows")
+
+
+def _hard_groups():
+    """Ties, infinities, far magnitudes, neighbouring doubles, signed zeros."""
+    rng = np.random.default_rng(5)
+    made = {
+        "ties": rng.integers(0, 4, 400).astype(float),
+        "even": np.repeat(np.arange(60.0), 4)[rng.permutation(240)],
+        "distinct": rng.normal(size=501),
+        "far": np.concatenate([2.0 ** -np.arange(0, 1070, 3), -(2.0 ** np.arange(0, 1020, 3))]),
+        "near": np.nextafter(1.0, 2.0) ** rng.integers(0, 90, 300),
+        "tiny": rng.integers(0, 90, 301) * 5e-324,
+        "ends": np.concatenate([[-np.inf] * 90, [np.inf] * 70, [1.7e308, -1.7e308], rng.normal(size=120)]),
+        "zeros": np.concatenate([[0.0, -0.0] * 60, [1.0] * 100, [-1.0] * 119]),
+        "one": np.array([3.0]),
+        "two": np.array([1.0, 2.0]),
+        "same": np.full(200, 7.0),
+    }
+    return {k: v[rng.permutation(len(v))] for k, v in made.items()}
+
+
+def test_large_tables_equal_numpy_and_counted_values(spark, small_slices):
+    groups = _hard_groups()
+    rows = [(k, float(v)) for k, values in groups.items() for v in values]
+    rows += [("ties", None), (None, 1.0), ("none", None)]
+    df = spark.createDataFrame(rows, "symbol string, close double").repartition(7)
+    got = {r["symbol"]: r for r in describe_values(df, ("symbol",), "close").collect()}
+    assert set(got) == set(groups)
+    spark.conf.set("spark.candlewick.sliceRows", "1000000")
+    want = {r["symbol"]: r for r in describe_values(df, ("symbol",), "close").collect()}
+    for k, values in groups.items():
+        r, w = got[k].asDict(), want[k].asDict()
+        ordered = np.sort(values)
+        for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+            at = (len(values) - 1) * p
+            assert r[name] == w[name] or np.isnan(r[name]) and np.isnan(w[name]), (k, name)
+            assert at != int(at) or r[name] == ordered[int(at)]
+        names, times = np.unique(values, return_counts=True)
+        assert r["mode"] == names[np.argmax(times)] == w["mode"], k
+        assert (r["n"], r["low"], r["high"]) == (len(values), ordered[0], ordered[-1])
+        for name in ("mean", "mad", "std_dev"):
+            if w[name] is None or r[name] is None:
+                assert r[name] is w[name]
+            else:
+                assert r[name] == pytest.approx(w[name], rel=1e-9, nan_ok=True), (k, name)
+
+
+def test_charts_of_large_tables(spark, small_slices):
+    prices = spark.createDataFrame(random_prices([301, 120, 80], gaps=0.05), SCHEMA)
+    large = [sorted(map(tuple, f(prices).collect())) for f in (charts.histogram, charts.boxplot_statistics)]
+    monthly = sorted(map(tuple, stats.price_trends_monthly(prices).collect()))
+    spark.conf.unset("spark.candlewick.sliceRows")
+    assert large == [sorted(map(tuple, f(prices).collect())) for f in (charts.histogram, charts.boxplot_statistics)]
+    small = sorted(map(tuple, stats.price_trends_monthly(prices).collect()))
+    assert len(monthly) == len(small)
+    for one, two in zip(monthly, small, strict=True):
+        assert one[:2] == two[:2] and one[2:] == pytest.approx(two[2:])
+
+
 def test_two_ways_to_round_the_variation(spark):
     # std 0.57 over 0.504 and over 0.50: the unrounded and the rounded mean.
     values = [0.1, 0.2, 0.3, 0.4, 1.52]
