@@ -29,7 +29,8 @@ FILTER_BITS = 1 << 24
 @dataclass(frozen=True)
 class LeakSpec:
     """matches: words that must agree in place; share: least share of agreeing
-    places in the overlap; short items need ``share`` of their words instead."""
+    places in the overlap; items of fewer words need ``share`` of theirs instead,
+    and those of fewer than SPAN words all."""
 
     matches: int = 13
     share: float = 0.8
@@ -50,6 +51,15 @@ def seed_hashes(hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def whole_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
+    """The hash of ``length`` words from each word on, for items compared as a whole."""
+    factor = seeds(SPAN + 1, 200 + length) | U(1)
+    h = np.full(max(len(hashes) - length + 1, 0), factor[SPAN], U)
+    for k in range(length):
+        h += hashes[k : k + len(h)] * factor[k]
+    return mix(h)
+
+
 def _inside(first: np.ndarray, span: int) -> np.ndarray:
     """Words at which a whole span fits into their text."""
     n = int(first[-1])
@@ -91,54 +101,113 @@ def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
 
 
-def _scanner(name: str, passes):
-    """Rows of documents: id, words (hashes) and the seed hashes (keys, places)
-    that pass; documents without any are left out where ``passes`` is given."""
+def _item_scanner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of items: item_id, words (hashes), and the keys and places of their seeds, or
+    for an item of fewer than SPAN words the key of the whole."""
+    for batch in batches:
+        for block in blocks(batch.column("text")):
+            found = words(block, ALPHANUMERIC)
+            size = np.diff(found.first)
+            keys, places = [], []
+            for mask, h in zip(MASKS, seed_hashes(found.hashes, found.first), strict=True):
+                at = np.flatnonzero(_inside(found.first, len(mask)))
+                at = at[size[np.searchsorted(found.first, at, side="right") - 1] >= SPAN]
+                keys.append(h[at])
+                places.append(at)
+            for length in range(1, SPAN):
+                at = found.first[:-1][size == length]
+                keys.append(whole_hashes(found.hashes, length)[at])
+                places.append(at)
+            key, place = np.concatenate(keys), np.concatenate(places)
+            owner = np.searchsorted(found.first, place, side="right") - 1
+            order = np.argsort(owner, kind="stable")
+            key, place, owner = key[order], place[order], owner[order]
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("item_id").slice(block.first, len(size)),
+                    _lists(found.first - found.first[0], found.hashes.astype(np.int64)),
+                    _lists(bounds, key.astype(np.int64)),
+                    _lists(bounds, place - found.first[owner]),
+                ],
+                names=["item_id", "words", "keys", "places"],
+            )
+
+
+def _scanner(passes, lengths: list[int]):
+    """Rows of the documents with keys that pass the filter: doc_id, mark, words
+    (hashes), seeds (keys, places), and once for each key of a whole item of one of
+    ``lengths`` words the key, its first place and how often it stands there.
+    ``words`` is empty where no seed passed, as nothing is compared then."""
+
+    def passing(h: np.ndarray, first: np.ndarray, span: int) -> np.ndarray:
+        one, two = _spread(h)
+        at = np.flatnonzero(_inside(first, span) & passes.value[one])
+        return at[passes.value[two[at]]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed = passes.value if passes is not None else None
         for batch in batches:
             for block in blocks(batch.column("text")):
                 found = words(block, ALPHANUMERIC)
-                keys, places = [], []
-                for mask, h in zip(MASKS, seed_hashes(found.hashes, found.first), strict=True):
-                    ok = _inside(found.first, len(mask))
-                    if allowed is not None:
-                        one, two = _spread(h)
-                        ok = ok & allowed[one]
-                        at = np.flatnonzero(ok)
-                        at = at[allowed[two[at]]]
-                    else:
-                        at = np.flatnonzero(ok)
+                first, rows = found.first, len(block.starts)
+
+                def owners(place: np.ndarray) -> np.ndarray:
+                    return np.searchsorted(first, place, side="right") - 1
+
+                keys, places = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+                for mask, h in zip(MASKS, seed_hashes(found.hashes, first), strict=True):
+                    at = passing(h, first, len(mask))
                     keys.append(h[at])
                     places.append(at)
                 key, place = np.concatenate(keys), np.concatenate(places)
-                owner = np.searchsorted(found.first, place, side="right") - 1
+                owner = owners(place)
                 order = np.argsort(owner, kind="stable")
                 key, place, owner = key[order], place[order], owner[order]
-                rows = len(block.starts)
                 per = np.bincount(owner, minlength=rows)
-                chosen = np.flatnonzero(per > 0) if allowed is not None else np.arange(rows)
+
+                short = [(np.zeros(0, U), np.zeros(0, np.int64))]
+                for length in lengths:
+                    h = whole_hashes(found.hashes, length)
+                    at = passing(h, first, length)
+                    short.append((h[at], at))
+                whole, where = (np.concatenate(c) for c in zip(*short, strict=True))
+                holder = owners(where)
+                order = np.lexsort((where, whole, holder))
+                whole, where, holder = whole[order], where[order], holder[order]
+                new = np.ones(len(whole), bool)
+                new[1:] = (whole[1:] != whole[:-1]) | (holder[1:] != holder[:-1])
+                starts = np.flatnonzero(new)
+                times = np.diff(np.append(starts, len(whole)))
+                whole, where, holder = whole[starts], where[starts], holder[starts]
+                per_whole = np.bincount(holder, minlength=rows)
+
+                chosen = np.flatnonzero(per + per_whole > 0)
+                lengths_of = np.where(per > 0, np.diff(first), 0)[chosen]
+                take = [found.hashes[first[i] : first[i + 1]] for i in chosen if per[i]]
+                take = np.concatenate([np.zeros(0, U), *take]).astype(np.int64)
                 bounds = np.concatenate([[0], np.cumsum(per[chosen])])
-                lengths = np.diff(found.first)[chosen]
-                take = (
-                    np.concatenate([found.hashes[found.first[i] : found.first[i + 1]] for i in chosen])
-                    if len(chosen)
-                    else np.zeros(0, U)
-                )
+                bounds_whole = np.concatenate([[0], np.cumsum(per_whole[chosen])])
+                picked = pa.array(block.first + chosen)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(name).take(pa.array(block.first + chosen)),
-                        _lists(np.concatenate([[0], np.cumsum(lengths)]), take.astype(np.int64)),
+                        batch.column("doc_id").take(picked),
+                        batch.column("mark").take(picked),
+                        _lists(np.concatenate([[0], np.cumsum(lengths_of)]), take),
                         _lists(bounds, key.astype(np.int64)),
-                        _lists(bounds, place - found.first[owner]),
+                        _lists(bounds, place - first[owner]),
+                        _lists(bounds_whole, whole.astype(np.int64)),
+                        _lists(bounds_whole, where - first[holder]),
+                        _lists(bounds_whole, times),
                     ],
-                    names=[name, "words", "keys", "places"],
+                    names=_SUSPECT,
                 )
 
     return run
 
 
+_SUSPECT = ["doc_id", "mark", "words", "keys", "places", "wholes", "firsts", "times"]
+
+
 def _best_run(agree: np.ndarray, share: Fraction) -> tuple[int, int]:
     """The stretch with the most agreeing places of all that reach ``share``.
 
@@ -162,7 +231,7 @@ def _verifier(spec: LeakSpec):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, items, starts, ends, matched, size = [], [], [], [], [], []
+            rows, items, starts, ends, matched, size = [], [], [], [], [], []
             mine, theirs = batch.column("mine"), batch.column("theirs")
             for i in range(batch.num_rows):
                 a = mine[i].values.to_numpy()
@@ -174,16 +243,16 @@ def _verifier(spec: LeakSpec):
                 start, end = _best_run(agree, share)
                 count = int(agree[start:end].sum())
                 if end > start and count >= min(spec.matches, math.ceil(len(b) * share)):
-                    ids.append(batch.column("doc_id")[i].as_py())
+                    rows.append(batch.column("row")[i].as_py())
                     items.append(batch.column("item_id")[i].as_py())
                     starts.append(max(0, shift) + start)
                     ends.append(max(0, shift) + end)
                     matched.append(count)
                     size.append(len(b))
-            arrays = [pa.array(c, pa.int64()) for c in (ids, items, starts, ends, matched, size)]
+            arrays = [pa.array(c, pa.int64()) for c in (rows, items, starts, ends, matched, size)]
             yield pa.RecordBatch.from_arrays(
                 arrays,
-                names=["doc_id", "item_id", "first_word", "end_word", "matched_words", "item_words"],
+                names=["row", "item_id", "first_word", "end_word", "matched_words", "item_words"],
             )
 
     return run
@@ -191,66 +260,96 @@ def _verifier(spec: LeakSpec):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, spec: LeakSpec = LeakSpec()) -> DataFrame:
     """Row per (document, benchmark item) that share a passage: doc_id, item_id,
-    n_places, and of the longest one first_word, end_word, matched_words, item_words.
+    n_places, of the longest one first_word, end_word, matched_words, item_words,
+    and text_hash (xxhash64 of the document's text).
 
     Words are runs of letters and digits, A-Z lower-cased.  A shared passage is
     a stretch of words in the same order and distance in both, in which at least
     ``share`` of the places agree and ``matches`` words in all (``share`` of the
-    item's words, if that is less).  So single words may be replaced.
+    item's words, if that is less).  So single words may be replaced.  Items of
+    fewer than SPAN (eight) words must stand there whole, without a replaced word.
 
-    Each mask hashes five of eight consecutive words, the last one five in a row.  Training hashes first pass
+    Each mask hashes five of eight consecutive words, the last one five in a row;
+    shorter items have one hash of all their words.  Training hashes first pass
     a bit filter of fixed size, are then joined to the benchmark's hashes by
     shuffle, and every (document, item, distance) that they hit is compared word
     by word over the item's length.
 
-    Null or empty texts and items of fewer than eight words share nothing; rows
-    without an id are ignored; repeated rows count once; extra columns are ignored.
-    Either table empty: an empty result.
+    Null texts and texts and items without words share nothing; items without an id are
+    ignored.  Documents without an id have rows with null doc_id, one per different
+    text and item.  Repeated rows count once; of different texts with one doc_id the
+    places count together and text_hash is that of the longest passage.  Extra columns
+    are ignored.  Either table empty: an empty result.  Items, their filter and the
+    documents that pass it are stored while the result is being built.
     """
-    columns = "words array<long>, keys array<long>, places array<long>"
     items = settle(
         benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
         .where("item_id is not null")
-        .mapInArrow(_scanner("item_id", None), "item_id long, " + columns)
-        .where(F.size("words") >= SPAN)
+        .mapInArrow(
+            _item_scanner, "item_id long, words array<long>, keys array<long>, places array<long>"
+        )
+        .where(F.size("words") > 0)
         .dropDuplicates(["item_id"])
     )
-    targets = items.select("item_id", F.explode(F.arrays_zip("keys", "places")).alias("h")).select(
-        "item_id", F.col("h.keys").alias("key"), F.col("h.places").alias("item_place")
-    )
+    n_words = F.size("words")
+    targets = items.select(
+        "item_id", n_words.alias("n"), F.explode(F.arrays_zip("keys", "places")).alias("h")
+    ).select("item_id", "n", F.col("h.keys").alias("key"), F.col("h.places").alias("item_place"))
     passes = docs.sparkSession.sparkContext.broadcast(_filter(targets.select("key")))
+    # At most SPAN - 1 numbers.
+    lengths = [r["n"] for r in items.where(n_words < SPAN).select(n_words.alias("n")).distinct().collect()]
     suspects = settle(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .where("doc_id is not null")
-        .mapInArrow(_scanner("doc_id", passes), "doc_id long, " + columns)
-    )
-    hits = suspects.select("doc_id", F.explode(F.arrays_zip("keys", "places")).alias("h")).select(
-        "doc_id", F.col("h.keys").alias("key"), F.col("h.places").alias("place")
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+        .where("text is not null")
+        .mapInArrow(
+            _scanner(passes, sorted(lengths)),
+            ", ".join([f"{c} long" for c in _SUSPECT[:2]] + [f"{c} array<long>" for c in _SUSPECT[2:]]),
+        )
+    ).withColumn("row", F.monotonically_increasing_id())  # of stored rows: the same at every reading
+    hits = suspects.select("row", F.explode(F.arrays_zip("keys", "places")).alias("h")).select(
+        "row", F.col("h.keys").alias("key"), F.col("h.places").alias("place")
     )
     lines = (
-        hits.join(targets, "key")
-        .select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal"))
+        hits.join(targets.where(F.col("n") >= SPAN), "key")
+        .select("row", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal"))
         .distinct()
     )
     theirs = items.select("item_id", F.col("words").alias("theirs"))
-    n = F.size("theirs")
     from_word = F.greatest("diagonal", F.lit(0)).cast("int")
     compared = (
         lines.join(items.select("item_id", F.size("words").alias("n")), "item_id")
-        .join(suspects.select("doc_id", "words"), "doc_id")
-        .select("doc_id", "item_id", "diagonal", F.slice("words", from_word + 1, F.col("n")).alias("mine"))
+        .join(suspects.select("row", "words"), "row")
+        .select("row", "item_id", "diagonal", F.slice("words", from_word + 1, F.col("n")).alias("mine"))
         .join(theirs, "item_id")
-        .select("doc_id", "item_id", "diagonal", "mine", "theirs")
+        .select("row", "item_id", "diagonal", "mine", "theirs")
         .mapInArrow(
             _verifier(spec),
-            "doc_id long, item_id long, first_word long, end_word long, matched_words long, item_words long",
+            "row long, item_id long, first_word long, end_word long, matched_words long, item_words long",
         )
     )
-    best = F.struct("matched_words", (-F.col("first_word")).alias("before"), "end_word", "item_words")
+    short = (
+        suspects.select("doc_id", "mark", F.explode(F.arrays_zip("wholes", "firsts", "times")).alias("h"))
+        .select("doc_id", "mark", F.col("h.wholes").alias("key"), F.col("h.firsts").alias("first_word"), F.col("h.times").alias("places"))
+        .join(targets.where(F.col("n") < SPAN), "key")
+        .select(
+            "doc_id",
+            "mark",
+            "item_id",
+            "first_word",
+            (F.col("first_word") + F.col("n")).alias("end_word"),
+            F.col("n").cast("long").alias("matched_words"),
+            F.col("n").cast("long").alias("item_words"),
+            "places",
+        )
+        .distinct()
+    )
+    compared = compared.join(suspects.select("row", "doc_id", "mark"), "row").drop("row").distinct()
+    found = compared.withColumn("places", F.lit(1).cast("long")).unionByName(short)
+    best = F.struct("matched_words", (-F.col("first_word")).alias("before"), "end_word", "item_words", "mark")
+    nameless = F.when(F.col("doc_id").isNull(), F.col("mark")).alias("nameless")
     return (
-        compared.distinct()
-        .groupBy("doc_id", "item_id")
-        .agg(F.count("*").alias("n_places"), F.max(best).alias("b"))
+        found.groupBy("doc_id", nameless, "item_id")
+        .agg(F.sum("places").alias("n_places"), F.max(best).alias("b"))
         .select(
             "doc_id",
             "item_id",
@@ -259,5 +358,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spec: LeakSpec = LeakSp
             "b.end_word",
             "b.matched_words",
             "b.item_words",
+            F.col("b.mark").alias("text_hash"),
         )
     )

@@ -43,15 +43,38 @@ def test_overlap_cut_off_at_the_documents_edge(spark, docs_of, words):
 
 
 def test_nulls_repeats_short_and_empty(spark, docs_of, words):
-    item = " ".join(words[:30])
-    bench = spark.createDataFrame([(1, item, ""), (1, item, ""), (2, None, ""), (3, "", ""), (None, item, ""), (4, "a b", "")], ITEMS)
-    docs = docs_of([(0, None), (1, ""), (2, item), (2, item), (None, item), (5, "a b"), (6, f"{item} x {item}")])
-    got = sorted((r.doc_id, r.item_id, r.n_places) for r in contamination(docs, bench).collect())
-    assert got == [(2, 1, 1), (6, 1, 2)]
+    item, other = " ".join(words[:30]), " ".join(words[30:60])
+    bench = spark.createDataFrame([(1, item, ""), (1, item, ""), (2, None, ""), (3, "", ""), (None, item, ""), (4, "a b", ""), (5, other, "")], ITEMS)
+    rows = [(0, None), (1, ""), (2, item), (2, item), (None, item), (None, item), (None, other), (None, None)]
+    docs = docs_of([*rows, (5, "x A, b! a-b"), (6, f"{item} x {item}"), (7, item), (7, other)])
+    got = contamination(docs, bench).collect()
+    named = sorted((r.doc_id, r.item_id, r.n_places) for r in got if r.doc_id is not None)
+    assert named == [(2, 1, 1), (5, 4, 2), (6, 1, 2), (7, 1, 1), (7, 5, 1)]
+    nameless = {(r.item_id, r.n_places, r.text_hash) for r in got if r.doc_id is None}
+    hashes = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
+    assert nameless == {(1, 1, hashes[item]), (5, 1, hashes[other])}
     assert contamination(docs.limit(0), bench).collect() == []
     assert contamination(docs, bench.limit(0)).collect() == []
 
 
+def test_items_of_one_to_seven_words_equal_a_plain_search(spark, docs_of, words):
+    made = random.Random(8)
+    few = words[:6]  # so that short items stand in many places
+    items = [made.choices(few, k=n) for n in range(1, 8) for _ in range(3)] + [words[:20]]
+    texts = [made.choices(few, k=made.randint(0, 120)) for _ in range(60)] + [words[100:140]]
+    want = {}
+    for d, text in enumerate(texts):
+        for i, item in enumerate(items[:-1]):
+            n = len(item)
+            at = [k for k in range(len(text) - n + 1) if text[k : k + n] == item]
+            if at:
+                want[d, i] = (len(at), at[0], at[0] + n, n, n)
+    bench = spark.createDataFrame([(i, " ".join(w), "") for i, w in enumerate(items)], ITEMS)
+    got = contamination(docs_of([", ".join(t).upper() for t in texts]), bench).collect()
+    short = {(r.doc_id, r.item_id): (r.n_places, r.first_word, r.end_word, r.matched_words, r.item_words) for r in got if r.item_words < 8}
+    assert short == want
+
+
 def test_long_text(spark, docs_of, words):
     item = words[:50]
     text = " ".join(random.Random(1).choices(words[100:], k=60_000) + item)
