@@ -276,10 +276,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spec: LeakSpec = LeakSp
     by word over the item's length.
 
     Null texts and texts and items without words share nothing; items without an id are
-    ignored.  Documents without an id have rows with null doc_id, one per different
-    text and item.  Repeated rows count once; of different texts with one doc_id the
-    places count together and text_hash is that of the longest passage.  Extra columns
-    are ignored.  Either table empty: an empty result.  Items, their filter and the
+    ignored.  Documents without an id have rows with null doc_id.  Repeated rows count
+    once; different texts with one doc_id, null or not, have rows of their own.  Extra
+    columns are ignored.  Either table empty: an empty result.  Items, their filter and the
     documents that pass it are stored while the result is being built.
     """
     items = settle(
@@ -345,10 +344,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spec: LeakSpec = LeakSp
     )
     compared = compared.join(suspects.select("row", "doc_id", "mark"), "row").drop("row").distinct()
     found = compared.withColumn("places", F.lit(1).cast("long")).unionByName(short)
-    best = F.struct("matched_words", (-F.col("first_word")).alias("before"), "end_word", "item_words", "mark")
-    nameless = F.when(F.col("doc_id").isNull(), F.col("mark")).alias("nameless")
+    best = F.struct("matched_words", (-F.col("first_word")).alias("before"), "end_word", "item_words")
     return (
-        found.groupBy("doc_id", nameless, "item_id")
+        found.groupBy("doc_id", "mark", "item_id")
         .agg(F.sum("places").alias("n_places"), F.max(best).alias("b"))
         .select(
             "doc_id",
@@ -358,6 +356,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, spec: LeakSpec = LeakSp
             "b.end_word",
             "b.matched_words",
             "b.item_words",
-            F.col("b.mark").alias("text_hash"),
+            F.col("mark").alias("text_hash"),
         )
     )

@@ -46,10 +46,10 @@ def test_nulls_repeats_short_and_empty(spark, docs_of, words):
     item, other = " ".join(words[:30]), " ".join(words[30:60])
     bench = spark.createDataFrame([(1, item, ""), (1, item, ""), (2, None, ""), (3, "", ""), (None, item, ""), (4, "a b", ""), (5, other, "")], ITEMS)
     rows = [(0, None), (1, ""), (2, item), (2, item), (None, item), (None, item), (None, other), (None, None)]
-    docs = docs_of([*rows, (5, "x A, b! a-b"), (6, f"{item} x {item}"), (7, item), (7, other)])
+    docs = docs_of([*rows, (5, "x A, b! a-b"), (6, f"{item} x {item}"), (7, item), (7, other), (7, f"{item} z")])
     got = contamination(docs, bench).collect()
     named = sorted((r.doc_id, r.item_id, r.n_places) for r in got if r.doc_id is not None)
-    assert named == [(2, 1, 1), (5, 4, 2), (6, 1, 2), (7, 1, 1), (7, 5, 1)]
+    assert named == [(2, 1, 1), (5, 4, 2), (6, 1, 2), (7, 1, 1), (7, 1, 1), (7, 5, 1)]
     nameless = {(r.item_id, r.n_places, r.text_hash) for r in got if r.doc_id is None}
     hashes = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) AS h").collect()}
     assert nameless == {(1, 1, hashes[item]), (5, 1, hashes[other])}

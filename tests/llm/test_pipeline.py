@@ -49,6 +49,17 @@ def test_each_stage(spark, folder):
     assert sorted(packed["doc_id"]) == sorted(leaks)
 
 
+def test_leaks_without_ids_and_of_shared_ids_go(spark, folder, docs_of):
+    path, _ = folder
+    item = spark.read.parquet(f"{path}/benchmark.parquet").first()["text"]
+    rows = [(None, item), (None, "clean"), (1, f"x {item}"), (1, f"{item} y"), (1, "clean"), (None, None)]
+    docs = docs_of(rows).withColumnRenamed("mark", "text_hash")
+    kept = corpus_pipeline.benchmark_decontamination(spark, docs, path)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(None, "clean"), (1, "clean"), (None, None)], key=str)
+
+
 def test_empty_documents(spark, folder, tmp_path):
     path, _ = folder
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
@@ -59,7 +70,7 @@ def test_empty_documents(spark, folder, tmp_path):
 
 def test_registered():
     names = [n for n in contract.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in contract.queries()
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "language_id"
 
