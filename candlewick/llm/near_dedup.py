@@ -107,13 +107,14 @@ def _sketcher(spec: NearSpec):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("mark"),
                     pa.array(sizes, pa.int64()),
                     pa.array(classes, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
                     pa.array(marks, pa.binary()),
                     pa.array(packed, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "class", "bands", "marks", "keys"],
+                names=["doc_id", "mark", "n_shingles", "class", "bands", "marks", "keys"],
             )
 
     return run
@@ -295,26 +296,32 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
       1e-10 at 85 and 5e-8 at 80 percent, the sketches' test with about 1e-6.
 
     Null, empty or blank text: n_shingles 0, linked with nothing.  Null doc_id:
-    component_id null, kept.  Repeated rows come back once each; other columns
-    are ignored.  An empty table gives an empty one.
+    component_id null, kept.  Repeated rows come back once each, and different texts
+    with one doc_id are told apart: each has a row and a component of its own, unless
+    they are linked.  Other columns are ignored.  An empty table gives an empty one.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")
+    )
     rows = settle(
         docs.mapInArrow(
-            _sketcher(spec), "doc_id long, n_shingles long, class binary, bands array<long>, marks binary, keys binary"
+            _sketcher(spec),
+            "doc_id long, mark long, n_shingles long, class binary, bands array<long>, marks binary, keys binary",
         )
-    )
+    ).withColumn("row", F.monotonically_increasing_id())  # of stored rows: the same at every reading
     known = rows.where("doc_id is not null and n_shingles > 0")
+    # A node is a class, named by the first of its rows.
+    one = F.min(F.struct(F.col("row").alias("node"), "doc_id", "mark")).alias("one")
     nodes = known.groupBy("class").agg(
-        F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.first("keys").alias("keys")
-    )
+        one, F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.first("keys").alias("keys")
+    ).withColumn("node", F.col("one.node"))
     placed = nodes.select("node", "n", F.explode("bands").alias("band"))
     shared = placed.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
     placed = settle(placed.join(shared, "band"))
-    partners = placed.select("node").distinct()
+    partners = placed.select("node").distinct().join(nodes.select("one.*"), "node")
     sets = settle(
-        docs.withColumnRenamed("doc_id", "node")
-        .join(partners, "node", "left_semi")
+        docs.join(partners, ["doc_id", "mark"])
+        .select("node", "text")
         .dropDuplicates(["node"])
         .mapInArrow(_set_maker(spec.width), "node long, elements binary")
     )
@@ -330,8 +337,10 @@ def near_duplicates(docs: DataFrame, spec: NearSpec = NearSpec()) -> DataFrame:
     last = _across(left_over, nodes, sets, spec.percent)
     roots = components(links.unionByName(last))
 
-    of_class = nodes.select("class", "node").join(roots, "node", "left")
-    of_class = of_class.select("class", F.coalesce("root", "node").alias("component_id"))
+    of_class = nodes.select("class", "first_id", "node").join(roots, "node", "left")
+    of_class = of_class.select("class", "first_id", F.coalesce("root", "node").alias("root"))
+    least = of_class.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    of_class = of_class.join(least, "root").select("class", "component_id")
     empty = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
     out = rows.select("doc_id", "n_shingles", F.when(~empty, F.col("class")).alias("class"))
     out = out.join(of_class, "class", "left")

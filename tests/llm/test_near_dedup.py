@@ -91,6 +91,15 @@ def test_null_ids_repeated_rows_and_empty_tables(docs_of):
     assert near_duplicates(docs.limit(0)).collect() == []
 
 
+def test_two_texts_with_one_id(docs_of, words):
+    one, two = words[:60], words[100:160]
+    texts = [(5, one), (5, two), (7, [*one, "x"]), (9, [*two, "x"]), (9, [*two, "x"]), (11, [*two[:20], *words[300:340]])]
+    texts += [(20, words[400:460]), (20, words[500:560]), (20, words[500:560]), (21, [*words[400:460], "y"])]
+    got = near_duplicates(docs_of([(i, " ".join(t)) for i, t in texts]), NearSpec(3, 85)).collect()
+    assert len(got) == len(texts)
+    assert {(r.doc_id, r.component_id) for r in got} == {(5, 5), (7, 5), (9, 5), (11, 11), (20, 20), (21, 20)}
+
+
 def test_every_coordinate_is_filled_and_agreement_estimates_similarity():
     made = np.random.default_rng(1)
     for size in (1, 2, 7, 100, 5000):
