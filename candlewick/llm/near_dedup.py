@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm.components import components
@@ -250,15 +250,31 @@ _MET = ["band", "low", "high", "node", "n", "root", "side"]
 def _across(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Linked pairs of bucket partners in different components.
 
-    Buckets are cut into blocks of about 512 nodes; every two blocks of a bucket
-    meet in one place, so no task holds more than two, and only linked pairs are
-    written.  A first pass on sketches leaves the nodes whose sets are needed.
+    Buckets are cut into blocks of about 512 nodes, apart for the bucket's largest
+    component and for all others; every two blocks of which one holds others meet in
+    one place, so no task holds more than two, and only linked pairs are written.
+    Hubs have left most nodes in the largest component, whose blocks do not meet each
+    other.  A first pass on sketches leaves the nodes whose sets are needed.
     """
-    cut = rows.groupBy("band").agg((F.count("*") / BLOCK_NODES).cast("int").alias("last"))
-    own = F.pmod(F.xxhash64("node"), F.col("last") + 1).cast("int")
+    sizes = rows.groupBy("band", "root").agg(F.count("*").alias("held"))
+
+    def blocks_of(nodes: Column) -> Column:
+        return F.ceil(nodes / BLOCK_NODES).cast("int")
+
+    cut = sizes.groupBy("band").agg(
+        F.max_by("root", F.struct("held", "root")).alias("largest"),
+        blocks_of(F.sum("held") - F.max("held")).alias("others"),
+        blocks_of(F.max("held")).alias("rest"),
+    )
+    is_other = F.col("root") != F.col("largest")
+    number = F.xxhash64("node")
+    own = F.when(is_other, F.pmod(number, "others")).otherwise(
+        F.col("others") + F.pmod(number, "rest")
+    )
+    last = F.when(is_other, F.col("others") + F.col("rest")).otherwise(F.col("others")) - 1
     met = (
         rows.join(cut, "band")
-        .select("band", "node", "n", "root", own.alias("own"), F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+        .select("band", "node", "n", "root", own.cast("int").alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
         .withColumn("low", F.least("own", "other"))
         .withColumn("high", F.greatest("own", "other"))
         .withColumn("side", F.when(F.col("own") > F.col("other"), 1).otherwise(0))
