@@ -100,19 +100,22 @@ def walk_forward_trees(
         raise ValueError(f"no stepwise tree regressor: {sorted(unknown)}")
 
     @F.pandas_udf("array<array<double>>")
-    def fitted(cells: pd.Series, rows: pd.Series, start: pd.Series) -> pd.Series:
+    def fitted(
+        cell: pd.Series, n: pd.Series, total: pd.Series, at: pd.Series, t: pd.Series, start: pd.Series
+    ) -> pd.Series:
         out = []
-        for c, r, a in zip(cells, rows, start, strict=True):
-            known = tuple(np.array([x[k] for x in c], t) for k, t in (("cell", np.int64), ("n", float), ("total", float)))
-            tests = tuple(np.array([x[k] for x in r], t) for k, t in (("cell", np.int64), ("t", float)))
+        for c, m, s, r, y, a in zip(cell, n, total, at, t, start, strict=True):
             steps = range(int(a), min(int(a) + STEPS, len(r)))
+            known, tests = (c, m.astype(float), s), (r, y)
             out.append([step_predictions(known, tests, steps, STEPWISE_TREES[name]) for name in trees])
         return pd.Series(out)
 
     keys = list(spec.keys)
     begin = F.explode(F.sequence(F.lit(0), F.size("rows") - 1, F.lit(STEPS)))
     blocks = history.where(F.size("rows") > 0).withColumn("start", begin).repartition(*keys, "start")
-    predicted = blocks.withColumn("p", fitted("cells", "rows", "start"))
+    # Arrays of numbers arrive as views of the batch; structs would be one object a cell.
+    numbers = ("cells.cell", "cells.n", "cells.total", "rows.cell", "rows.t")
+    predicted = blocks.withColumn("p", fitted(*map(F.col, numbers), "start"))
     picked = F.arrays_zip(F.slice("rows", F.col("start") + 1, F.lit(STEPS)).alias("row"), F.col("of_tree.p").alias("p"))
     named = F.transform(
         "p", lambda p, i: F.struct(F.element_at(F.array(*map(F.lit, trees)), i.cast("int") + 1).alias("strategy"), p.alias("p"))

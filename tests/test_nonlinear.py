@@ -1,5 +1,7 @@
 """Tree walk-forward against trees grown by plain loops over raw rows."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -108,3 +110,11 @@ def test_backtest_has_trees(spark):
     assert names == {"LinearRegression", "DecisionTreeRegressor"}
     counted = run["days"].groupBy("strategy").count().collect()
     assert {r["strategy"] for r in counted} >= names
+
+
+def test_tasks_get_arrays_of_numbers(spark, capsys):
+    # One Python object per cell of a batch was gigabytes where series are many.
+    prices = spark.createDataFrame(random_prices([90, 80]), SCHEMA)
+    walk_forward_trees(binned_history(models.test_frame(prices, 5)), ("DecisionStump",)).explain()
+    called = [line for line in capsys.readouterr().out.splitlines() if "ArrowEvalPython" in line]
+    assert called and all(re.search(r"fitted\(cells#\d+\.cell", line) for line in called)
