@@ -423,6 +423,26 @@ def pipelines(degrees: Sequence[int], trees: Sequence[str] = ()) -> dict[str, Pi
     return named | {t: tree_pipeline(t) for t in trees}
 
 
+#: Rows of one task in fits that read the rows many times.
+TASK_ROWS = 250_000
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` persisted and, above TASK_ROWS, dealt evenly over tasks of about that
+    many.  After a window a whole series is one task's, in every pass of a fit.
+
+    Deal and order follow from the rows alone: the samples that MLlib draws depend on both.
+    """
+    stored = rows.persist()
+    tasks = -(-stored.count() // TASK_ROWS)
+    if tasks < 2:
+        return stored
+    out = stored.repartition(tasks, *rows.columns).sortWithinPartitions(*rows.columns).persist()
+    out.count()
+    stored.unpersist()
+    return out
+
+
 _STAGE_COLUMNS = ("__raw", "__scaled", "__poly", "prediction")
 
 

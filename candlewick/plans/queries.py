@@ -339,7 +339,7 @@ def kfold_mean_absolute(spark, sf):
 
 @query
 def tree_regressor(spark, sf):
-    matrix = _matrix(spark, sf).persist()
+    matrix = models.dealt(_matrix(spark, sf))
     trees = {
         name: models.tree_pipeline(name, **params)
         for name, params in (

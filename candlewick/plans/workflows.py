@@ -94,7 +94,7 @@ def compare_models(
     parts = [scored]
     if trees:
         # Tree fits read the rows many times.
-        matrix = matrix.persist()
+        matrix = models.dealt(matrix)
         parts += [
             models.kfold_pipeline(matrix, t, models.tree_pipeline(t), fold, folds).select(scored.columns)
             for t in trees
@@ -184,7 +184,7 @@ def model_quality(
 ) -> DataFrame:
     """In-sample error, R2, correlation and distance to the best model.  Each
     model is fitted once, and one aggregate gives all figures."""
-    matrix = model_matrix(rolling_features(prices, spec), spec).persist()
+    matrix = models.dealt(model_matrix(rolling_features(prices, spec), spec))
     wide = models.fit_models(matrix, models.pipelines(degrees, trees))
     return models.fit_quality(wide).drop("ord")
 

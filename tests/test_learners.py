@@ -13,7 +13,9 @@ from candlewick.operators import models
 from candlewick.operators.estimator import LeastSquaresModel, LeastSquaresRegressor
 from candlewick.operators.features import model_matrix, rolling_features
 from candlewick.operators.neural import (
+    BLOCK,
     NeuralSpec,
+    _standard_rows,
     in_sample_neural,
     kfold_neural,
     outputs,
@@ -75,6 +77,38 @@ def test_neural_equals_a_local_trainer(matrix):
     assert kfold_neural(matrix.limit(0), models.fold_of("event_id"), 5, spec=NeuralSpec(rounds=1)).collect() == []
 
 
+def test_rounds_read_even_blocks(spark):
+    # One series is one task's after the windows; every round would be that task's.
+    n = 3 * BLOCK + 5
+    rows = spark.range(n, numPartitions=1).select(
+        (F.col("id") % 3).cast("int").alias("fold"), F.sin("id").alias("a"), F.cos("id").alias("b"), (F.col("id") % 7).alias("y")
+    )
+    blocks, unit = _standard_rows(rows, ("a", "b"), "y", F.col("fold"))
+    assert blocks.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    got = {}
+    for r in blocks.collect():
+        part = np.frombuffer(r["numbers"]).reshape(-1, 3)
+        assert 0 < len(part) <= BLOCK
+        got.setdefault(r["fold"], []).append(part)
+    for k in range(3):
+        i = np.arange(k, n, 3)
+        want = (np.sin(i) - np.sin(np.arange(n)).mean()) / np.sin(np.arange(n)).std(ddof=1)
+        assert np.sort(np.concatenate(got[k])[:, 0]) == pytest.approx(np.sort(want))
+    assert unit.first()["unit"] == pytest.approx((np.arange(n) % 7).std(ddof=1))
+
+
+def test_dealt_rows_stay(spark, monkeypatch):
+    monkeypatch.setattr(models, "TASK_ROWS", 100)
+    rows = spark.range(1001, numPartitions=1).select((F.col("id") % 500).alias("a"), F.lit(None).cast("string").alias("b"))
+    got = models.dealt(rows)
+    sizes = [len(p) for p in got.rdd.glom().collect()]
+    assert len(sizes) == 11 and max(sizes) < 200
+    assert sorted(r["a"] for r in got.collect()) == sorted(i % 500 for i in range(1001))
+    assert [r["a"] for r in models.dealt(rows).collect()] == [r["a"] for r in got.collect()]
+    few = models.dealt(rows.limit(50))
+    assert few.count() == 50
+
+
 def test_neural_learns(matrix):
     assert in_sample_neural(matrix, spec=NeuralSpec(rounds=80)).first()["r2"] > 0.9
 
