@@ -6,6 +6,7 @@ import json
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -18,12 +19,13 @@ from candlewick.storage import settle
 
 #: Pieces that one task places at a time.
 GROUP = 4096
-_TEXTS = 256  # tokenized at a time
+_TEXTS = 128  # tokenized at a time
 
 #: Texts that the word cache serves: white space, printable ASCII and precomposed Latin
 #: letters, for which normalising is lower-casing.  All others go to the tokenizer whole.
 _UNUSUAL = re.compile("[^\t-\r -~\xa1-\u012f\u0131-\u024f]|<\\|")
-_CACHED_WORDS = 1_500_000
+#: Words a process keeps: those met since it last met as many new ones, and as many from before.
+_CACHED_WORDS = 1 << 16
 #: Ends a piece of a word; such texts are unusual, so it stands nowhere else.
 _END = "\0"
 
@@ -32,18 +34,19 @@ class WordEncoder:
     """Token ids of texts, as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins words, so a text's ids are
-    its words' ids in a row and each distinct word is tokenized once.  New words
-    are merged many at a time by the same merge list, with the end-of-word sign
-    as bytes of its own; the tests hold this against the tokenizer itself.
+    its words' ids in a row and words met again and again are tokenized once.  New
+    words are merged many at a time by the same merge list, with the end-of-word sign
+    as bytes of its own; the tests hold this against the tokenizer itself.  Of the
+    words about ``_CACHED_WORDS`` are kept twice over, however many there are.
     """
 
     def __init__(self, path: str):
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
         self.pieces = regex.compile(
@@ -87,27 +90,32 @@ class WordEncoder:
         data = self.ids[got].tobytes()
         return [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
+    @cached_property
+    def tokenizer(self):
+        """The library's tokenizer, loaded for the first unusual text."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > _CACHED_WORDS:
-            self.known.clear()
-        known = self.known
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         listed = [None if _UNUSUAL.search(t) else t.lower().split() for t in texts]
-        parts = [None if words is None else list(map(known.get, words)) for words in listed]
-        open_rows = [i for i, p in enumerate(parts) if p is not None and None in p]
-        missing: set[str] = set()
-        for i in open_rows:
-            missing.update(w for w, p in zip(listed[i], parts[i], strict=True) if p is None)
-        new = list(missing)
+        new = []
+        for word in set().union(*(words for words in listed if words is not None)).difference(known):
+            if word in older:
+                known[word] = older[word]
+            else:
+                new.append(word)
         known.update(zip(new, self._merge(new), strict=True))
-        for i in open_rows:
-            parts[i] = list(map(known.__getitem__, listed[i]))
         out = []
-        for text, found in zip(texts, parts, strict=True):
-            if found is None:
+        for text, words in zip(texts, listed, strict=True):
+            if words is None:
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 out.append(np.array(ids, dtype="<u4").tobytes())
             else:
-                out.append(b"".join(found))
+                out.append(b"".join(map(known.__getitem__, words)))
         return out
 
 

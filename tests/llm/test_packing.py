@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from candlewick.llm import packing
 from candlewick.llm.packing import GROUP, OpenBins, WordEncoder, pack, public_vocabulary, token_pieces
 
 
@@ -90,3 +91,15 @@ def test_the_rule_takes_the_least_sum_of_squares():
         assert chosen in [0, *open_levels]
         assert cost(chosen) == min(cost(h) for h in [0, *open_levels])
         bins.put(chosen, size)
+
+
+def test_the_words_kept_are_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "_CACHED_WORDS", 50)
+    made = random.Random(9)
+    encoder = WordEncoder(public_vocabulary())
+    for _ in range(40):
+        texts = [" ".join(f"often{made.randint(1, 9)} w{made.randint(1, 400)}" for _ in range(8)) for _ in range(4)]
+        got = encoder.encode(["", *texts, "naïve ŒUVRE…"])
+        want = tokenizer.encode_batch(["", *texts, "naïve ŒUVRE…"], add_special_tokens=False)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
+        assert len(encoder.known) + len(encoder.older) <= 2 * (50 + 64)

@@ -80,3 +80,16 @@ def test_texts_with_letters_stay_where_no_language_is_learned(spark, docs_of):
     kept = corpus_pipeline.language_id(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1]
+
+
+def test_stages_hand_rows_to_python_in_small_batches(spark, docs_of):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name)
+    docs = docs_of(["a b"])
+    try:
+        for value, then in (("64m", f"{4 << 20}b"), ("1m", "1m")):
+            spark.conf.set(name, value)
+            corpus_pipeline.best_fit_packing(spark, docs, "")
+            assert spark.conf.get(name) == then
+    finally:
+        spark.conf.set(name, held)
