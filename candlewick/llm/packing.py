@@ -19,13 +19,13 @@ from candlewick.storage import settle
 
 #: Pieces that one task places at a time.
 GROUP = 4096
-_TEXTS = 128  # tokenized at a time
+_TEXTS = 256  # tokenized at a time
 
 #: Texts that the word cache serves: white space, printable ASCII and precomposed Latin
 #: letters, for which normalising is lower-casing.  All others go to the tokenizer whole.
 _UNUSUAL = re.compile("[^\t-\r -~\xa1-\u012f\u0131-\u024f]|<\\|")
 #: Words a process keeps: those met since it last met as many new ones, and as many from before.
-_CACHED_WORDS = 1 << 16
+_CACHED_WORDS = 1 << 17
 #: Ends a piece of a word; such texts are unusual, so it stands nowhere else.
 _END = "\0"
 
